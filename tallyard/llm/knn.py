@@ -151,31 +151,45 @@ def _floats(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-_ROUTED = "cell int, home boolean, space string, id bigint, h1 bigint, h2 bigint, vec array<float>"
-_PAIRS = "space string, q1 bigint, q2 bigint, c1 bigint, c2 bigint, cid bigint, cosine double"
-
-
-def class_neighbours(
-    rows: DataFrame, k: int, min_cosine: float, dim: int, cell_rows: int = 65_536, sample_rows: int = 65_536, margin: float = 0.12, visits: int = 3
-) -> DataFrame:
-    """Pairs of classes (query class, candidate class, its smallest id, cosine), at most ``k`` a query and cell.
-
-    Each space has one cell for ``cell_rows`` rows; the centroids are fitted on at most ``sample_rows`` rows in all (the
-    only sample). A class is indexed in its nearest cell and also searched in up to ``visits`` - 1 others whose centroid
-    is within ``margin`` of the nearest: a vector at cosine 0.9 moves the difference of two centroids' products by some
-    0.07. A cell that the sample shows to be crowded is divided into blocks by class hash, each searched by all its
-    queries.
-    """
+class Cells:
+    """Cells of a coarse clustering of each space; crowded cells are several blocks."""
+
+    def __init__(self, first: dict[str, int], book: dict[str, np.ndarray], blocks: np.ndarray, margin: float, visits: int):
+        self.first, self.book, self.blocks, self.margin, self.visits = first, book, blocks, margin, visits
+        self.offset = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
+
+    def visit(self, space: str, unit: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, whether it is the row's home) of every cell that the rows visit. A row visits all blocks of a
+        cell; ``spread`` decides the block of its home cell that it lives in."""
+        score = unit @ self.book[space].T
+        m = min(self.visits, score.shape[1])
+        top = np.argsort(-score, axis=1)[:, :m]
+        val = np.take_along_axis(score, top, 1)
+        who, cell, home = [], [], []
+        for j in range(m):
+            go = np.flatnonzero(val[:, j] >= val[:, 0] - self.margin)
+            c = self.first[space] + top[go, j]
+            nb = self.blocks[c]
+            mine = spread[go] % nb
+            for blk in range(int(nb.max(initial=0))):
+                there = nb > blk
+                who.append(go[there])
+                cell.append(self.offset[c[there]] + blk)
+                home.append((mine[there] == blk) & (j == 0))
+        return np.concatenate(who), np.concatenate(cell), np.concatenate(home)
+
+
+def fit_cells(rows: DataFrame, dim: int, cell_rows: int, sample_rows: int, margin: float, visits: int) -> Cells:
+    """One cell for ``cell_rows`` rows of each space, fitted on at most ``sample_rows`` rows in all."""
     counts = {r["space"]: r["n"] for r in rows.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each model and layer
     total = sum(counts.values())
-    spaces = sorted(counts)
-    fit: dict[str, list] = {s: [] for s in spaces}
+    fit: dict[str, list] = {s: [] for s in counts}
     if total and max(counts.values()) > cell_rows:
         for r in rows.select("space", "vec").sample(min(1.0, sample_rows / total), seed=3).limit(sample_rows).toArrow().to_batches():
             for s, v in zip(r.column(0).to_pylist(), _floats(r.column(1), dim)):
                 fit[s].append(v)
     first, book, blocks = {}, {}, []
-    for s in spaces:
+    for s in sorted(counts):
         x = np.array(fit[s], np.float32).reshape(-1, dim)
         n_cells = max(1, -(-counts[s] // cell_rows)) if len(x) else 1
         if n_cells > 1:
@@ -186,8 +200,25 @@ def class_neighbours(
             cents, share = np.ones((1, dim), np.float32), np.ones(1)
         first[s], book[s] = len(blocks), cents
         blocks += [max(1, int(np.ceil(p * counts[s] / (2 * cell_rows)))) for p in share]
-    offset = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
-    blocks_of = np.array(blocks, np.int64)
+    return Cells(first, book, np.array(blocks, np.int64), margin, visits)
+
+
+_ROUTED = "cell int, home boolean, space string, id bigint, h1 bigint, h2 bigint, vec array<float>"
+_PAIRS = "space string, q1 bigint, q2 bigint, c1 bigint, c2 bigint, cid bigint, cosine double"
+
+
+def class_neighbours(
+    rows: DataFrame, k: int, min_cosine: float, dim: int, cell_rows: int = 65_536, sample_rows: int = 65_536, margin: float = 0.12, visits: int = 3
+) -> DataFrame:
+    """Pairs of classes (query class, candidate class, its smallest id, cosine), at most ``k`` a query and cell.
+
+    Each space has one cell for ``cell_rows`` rows; the centroids are fitted on at most ``sample_rows`` rows in all (the
+    only sample). A class is indexed in its nearest cell and also searched in up to ``visits`` - 1 others whose centroid
+    is within ``margin`` of the nearest: a vector at cosine 0.9 moves the difference of two centroids' products by some
+    0.07. A cell that the sample shows to be crowded is divided into blocks by class hash, each searched by all its
+    queries.
+    """
+    cells = fit_cells(rows, dim, cell_rows, sample_rows, margin, visits)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -206,20 +237,10 @@ def class_neighbours(
                     fresh[1:] = (h1[at][1:] != h1[at][:-1]) | (h2[at][1:] != h2[at][:-1])
                     at = at[fresh]
                     u = x[at] / np.linalg.norm(x[at].astype(np.float64), axis=1, keepdims=True).astype(np.float32)
-                    sc = u @ book[s].T
-                    m = min(visits, sc.shape[1])
-                    top = np.argsort(-sc, axis=1)[:, :m]
-                    val = np.take_along_axis(sc, top, 1)
-                    for j in range(m):
-                        go = np.flatnonzero(val[:, j] >= val[:, 0] - margin)
-                        c = first[s] + top[go, j]
-                        nb = blocks_of[c]
-                        mine = h1[at[go]] % nb
-                        for blk in range(int(nb.max(initial=0))):
-                            in_block = nb > blk
-                            take.append(at[go[in_block]])
-                            cell.append(offset[c[in_block]] + blk)
-                            home.append((mine[in_block] == blk) & (j == 0))
+                    who, where, mine = cells.visit(s, u, h1[at])
+                    take.append(at[who])
+                    cell.append(where)
+                    home.append(mine)
                 t = np.concatenate(take)
                 sub = b.take(pa.array(t))
                 yield pa.RecordBatch.from_arrays(
