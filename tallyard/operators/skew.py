@@ -133,3 +133,20 @@ def merge_chunks(pieces: DataFrame, measures: list[str]) -> DataFrame:
 def skewed_group_metrics(df: DataFrame, key: str, order: list[str], measures: list[str], chunk_rows: int = 20_000) -> DataFrame:
     """Rows, different anchors (values of ``order``) and sums, counts, minima, maxima of ``measures`` for each key."""
     return merge_chunks(key_chunks(df, key, order, measures, chunk_rows), measures)
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", heavy_share: int = 200) -> DataFrame:
+    """Join rows to a table with one row for each key, although a few keys may hold most rows.
+
+    Keys with more than 1/``heavy_share`` of the rows number fewer than ``heavy_share``; their part of the table is
+    broadcast, whatever the table's size, and all other rows take the ordinary join. ``how``: inner or left. Columns
+    other than ``key`` must differ between the two sides. A null key matches nothing.
+    """
+    n = rows.count()
+    heavy = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(1000, n // heavy_share)).select(key)
+    keys = [r[0] for r in heavy.collect()]
+    if not keys:
+        return rows.join(table, key, how)
+    is_heavy = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    light = rows.where(~is_heavy).join(table, key, how)
+    return light.unionByName(rows.where(is_heavy).join(F.broadcast(table.where(is_heavy)), key, how))
