@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_NAMES = ["topn", "components", "lexicon", "knn", "overlap", "leak"]
+_NAMES = ["topn", "components", "lexicon", "knn", "overlap", "leak", "subjects"]
 _MODULES = [import_module(f".{n}", __package__) for n in _NAMES]
 
 
