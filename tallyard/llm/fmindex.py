@@ -72,13 +72,34 @@ class FMIndex:
         hit = np.flatnonzero((hi > lo) & (at < 0))
         return self._strings(hit, lo[hit], hi[hit])
 
+    def seed_table(self, places: int, base: int, depth: int) -> None:
+        """Intervals of all runs of ``depth`` symbols, for strings whose symbol at place p is p * base + value + 1:
+        the first steps of every search are then one look-up."""
+        n = base**depth
+        end, code = np.repeat(np.arange(places), n), np.tile(np.arange(n), places)
+        lo, hi = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
+        live = np.flatnonzero(end >= depth - 1)
+        for j in range(depth):
+            value = code[live] // base ** (depth - 1 - j) % base
+            lo[live], hi[live] = self.step((end[live] - j) * base + value + 1, lo[live], hi[live])
+            live = live[hi[live] > lo[live]]
+        self.table = places, base, depth, lo, hi
+
     def seeds(self, patterns: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(pattern, string) once for each place at which ``length`` symbols agree, for patterns of one length."""
+        """(pattern, string) once for each place at which ``length`` symbols agree, for patterns of one length, after
+        ``seed_table``."""
         m, t = patterns.shape
-        who = np.repeat(np.arange(m), t - length + 1)
-        end = np.tile(np.arange(length - 1, t), m)
-        lo, hi = np.zeros(len(who), np.int64), np.full(len(who), self.n, np.int64)
-        for j in range(length):
+        _, base, depth, table_lo, table_hi = self.table
+        value = patterns - np.arange(t) * base - 1
+        ends = np.arange(length - 1, t)
+        code = np.zeros((m, len(ends)), np.int64)
+        for j in range(depth):
+            code = code * base + value[:, ends - j]
+        at = (ends * base**depth + code).ravel()
+        lo, hi = table_lo[at], table_hi[at]
+        ok = np.flatnonzero(hi > lo)
+        who, end, lo, hi = ok // len(ends), ends[ok % len(ends)], lo[ok], hi[ok]
+        for j in range(depth, length):
             lo, hi = self.step(patterns[who, end - j], lo, hi)
             ok = hi > lo
             who, end, lo, hi = who[ok], end[ok], lo[ok], hi[ok]

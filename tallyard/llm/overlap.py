@@ -133,6 +133,7 @@ def vector_matches(rows: DataFrame, min_cosine: float, dim: int = 64, cell_rows:
         if held.size and sent.size:
             sig = _signature(x[held].astype(np.float32), planes)
             index = FMIndex(sig.ravel(), np.full(held.size, sig.shape[1]))
+            index.seed_table(sig.shape[1], 16, min(3, seed_symbols))
             for i in range(0, sent.size, 2048):
                 own = sent[i : i + 2048]
                 p, s = index.seeds(_signature(x[own].astype(np.float32), planes), seed_symbols)
