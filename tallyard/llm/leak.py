@@ -164,7 +164,10 @@ def same_passage(item: list[int], at: int, passage: list[int], rare: np.ndarray)
     size = min(WINDOW, len(item))
     miss = max(1, size // MISSED)
     have = set(passage)
-    for lo in range(max(0, at - WINDOW // 2), min(len(item) - size, at + WINDOW // 2) + 1):
+    first, last = max(0, at - WINDOW // 2), min(len(item) - size, at + WINDOW // 2)
+    if lcs_length(item[first : last + size], passage) < size - miss:  # bounds that of every window in the stretch
+        return False
+    for lo in range(first, last + 1):
         window = item[lo : lo + size]
         own = [w for w in window if rare[w]]
         if sum(w in have for w in own) >= len(own) - miss and lcs_length(window, passage) >= size - miss:
