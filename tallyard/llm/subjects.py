@@ -49,48 +49,79 @@ def segment_features(w: list[str]) -> list[str]:
 class Model:
     """Evidence for each subject of each feature, with the limits that were set on held-out documents."""
 
-    def __init__(self, subjects: list[str], evidence: dict[str, np.ndarray], limits: tuple[float, int, float, float]):
-        self.subjects, self.evidence, self.limits = subjects, evidence, limits
-        self._of_word: dict[str, np.ndarray | None] = {}
-
-    def __getstate__(self):
-        return self.subjects, self.evidence, self.limits
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def of_word(self, w: str) -> np.ndarray | None:
-        try:
-            return self._of_word[w]
-        except KeyError:
-            if len(self._of_word) > 200_000:
-                self._of_word.clear()
-            e = [x for f in word_features(w) if (x := self.evidence.get(f)) is not None]
-            self._of_word[w] = v = np.sum(e, 0) if e else None
-            return v
-
-    def scores(self, text: str | None) -> np.ndarray:
-        """Evidence of each segment for each subject."""
-        out = []
-        for w in segments(text):
-            e = [v for x in dict.fromkeys(w) if (v := self.of_word(x)) is not None]
-            e += [v for a, b in dict.fromkeys(zip(w, w[1:])) if (v := self.evidence.get(a + b)) is not None]
-            out.append(np.sum(e, 0) if e else np.zeros(len(self.subjects)))
-        return np.array(out).reshape(-1, len(self.subjects))
+    def __init__(self, subjects: list[str], features: list[str], evidence: np.ndarray, limits: tuple[float, int, float, float]):
+        self.subjects, self.features, self.evidence, self.limits = subjects, features, evidence, limits
+        self._number = {f: i for i, f in enumerate(features)}
+        self._rows: list[np.ndarray] = []  # evidence of words and pairs that have any
+        self._of: dict[str, int] = {}
+
+    def __reduce__(self):
+        return Model, (self.subjects, self.features, self.evidence, self.limits)
+
+    def _row(self, w: str) -> int:
+        e = [i for f in word_features(w) if (i := self._number.get(f)) is not None]
+        if e:
+            self._rows.append(self.evidence[e].sum(0))
+        self._of[w] = at = len(self._rows) - 1 if e else -1
+        return at
+
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence of each segment for each subject, and how many segments each text has."""
+        if len(self._of) > 200_000:
+            self._of.clear()
+            self._rows.clear()
+        of, number, pair_base = self._of, self._number, 1 << 30
+        seg, at, per_text, n = [], [], [], 0
+        for t in texts:
+            own = segments(t)
+            per_text.append(len(own))
+            for w in own:
+                for x in set(w):
+                    i = of.get(x)
+                    if i is None:
+                        i = self._row(x)
+                    if i >= 0:
+                        seg.append(n)
+                        at.append(i)
+                for x in {a + b for a, b in zip(w, w[1:])}:
+                    i = number.get(x)
+                    if i is not None:
+                        seg.append(n)
+                        at.append(pair_base + i)
+                n += 1
+        out = np.zeros((n, len(self.subjects)), np.float32)
+        if seg:
+            s, a = np.array(seg), np.array(at)
+            pair = a >= pair_base
+            v = np.empty((len(a), len(self.subjects)), np.float32)
+            v[pair] = self.evidence[a[pair] - pair_base]
+            if not pair.all():
+                v[~pair] = np.array(self._rows)[a[~pair]]
+            used, first = np.unique(s, return_index=True)
+            out[used] = np.add.reduceat(v, first)
+        return out, np.array(per_text, np.int64)
 
     @staticmethod
-    def counts(scores: np.ndarray, threshold: float) -> np.ndarray:
-        """Segments that speak for each subject: above the threshold and not far below the segment's strongest."""
-        if not len(scores):
-            return np.zeros(scores.shape[1])
-        return ((scores > threshold) & (scores >= 0.5 * scores.max(1, keepdims=True))).sum(0)
+    def counts(scores: np.ndarray, per_text: np.ndarray, threshold: float) -> np.ndarray:
+        """How many segments of each text speak for each subject: above the threshold and not far below the segment's
+        strongest."""
+        out = np.zeros((len(per_text), scores.shape[1]), np.int64)
+        full = np.flatnonzero(per_text)
+        if full.size:
+            speaks = (scores > threshold) & (scores >= 0.5 * scores.max(1, keepdims=True))
+            out[full] = np.add.reduceat(speaks.astype(np.int64), np.concatenate([[0], np.cumsum(per_text)])[full])
+        return out
 
-    def decide(self, text: str | None) -> list[str]:
-        threshold, least, share, alone = self.limits
-        s = self.scores(text)
-        n = self.counts(s, threshold)
-        part = n / max(1, len(s))
-        return [self.subjects[i] for i in np.flatnonzero(((n >= least) & (part >= share)) | ((n > 0) & (part >= alone)))]
+    @staticmethod
+    def enough(n: np.ndarray, per_text: np.ndarray, least: int, share: float, alone: float) -> np.ndarray:
+        part = n / np.maximum(1, per_text)[:, None]
+        return ((n >= least) & (part >= share)) | ((n > 0) & (part >= alone))
+
+    def decide(self, texts: list[str | None]) -> np.ndarray:
+        """Texts by subjects: whether a text is about a subject."""
+        threshold, *rest = self.limits
+        s, per_text = self.scores(texts)
+        return self.enough(self.counts(s, per_text, threshold), per_text, *rest)
 
 
 #: Limits that are tried, the usual ones first: evidence of a segment, segments, their part, a part that is enough.
@@ -220,29 +251,29 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, max_labelled: int
     n = sample.count()
     features = choose_features(sample, len(subjects), max_features, least_docs=3 if n > 2000 else 2) if subjects else []
     if not features:
-        return Model(subjects, {}, _LIMITS[0]), 0.0
+        return Model(subjects, [], np.zeros((0, len(subjects)), np.float32), _LIMITS[0]), 0.0
     e, w, _ = train(sample, subjects, features, **options)
     evidence = (e @ w).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(Model(subjects, dict(zip(features, evidence)), _LIMITS[0]))
+    shared = docs.sparkSession.sparkContext.broadcast(Model(subjects, features, evidence, _LIMITS[0]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, out = shared.value, np.zeros((len(_LIMITS), 3), np.int64)
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s, y = model.scores(t), np.array(y) > 0
-                by = {x: model.counts(s, x) for x in {x[0] for x in _LIMITS}}
-                for i, (threshold, least, share, alone) in enumerate(_LIMITS):
-                    c = by[threshold]
-                    part = c / max(1, len(s))
-                    got = ((c >= least) & (part >= share)) | ((c > 0) & (part >= alone))
-                    out[i] += (got & y).sum(), got.sum(), y.sum()
+            if not b.num_rows:
+                continue
+            s, per_text = model.scores(b.column(0).to_pylist())
+            y = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) > 0
+            by = {x: model.counts(s, per_text, x) for x in {x[0] for x in _LIMITS}}
+            for i, (threshold, *rest) in enumerate(_LIMITS):
+                got = model.enough(by[threshold], per_text, *rest)
+                out[i] += (got & y).sum(), got.sum(), y.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(_LIMITS), dtype=np.int32)), *[pa.array(c) for c in out.T]], names=["i", "hit", "got", "want"])
 
     sums = held.select("text", "y").mapInArrow(judge, "i int, hit bigint, got bigint, want bigint").groupBy("i").agg(F.sum("hit"), F.sum("got"), F.sum("want")).collect()
     f1 = {r[0]: 2 * r[1] / max(1, r[2] + r[3]) for r in sums}
     best = max(range(len(_LIMITS)), key=lambda i: (round(f1.get(i, 0), 3), -i))
     both.drop()
-    return Model(subjects, dict(zip(features, evidence)), _LIMITS[best]), f1.get(best, 0.0)
+    return Model(subjects, features, evidence, _LIMITS[best]), f1.get(best, 0.0)
 
 
 def assign(docs: DataFrame, model: Model) -> DataFrame:
@@ -250,9 +281,12 @@ def assign(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(k, s) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in shared.value.decide(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([s for _, s in got], pa.string())], names=["doc_id", "subject"])
+        model = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                t, k = np.nonzero(model.decide(b.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array([model.subjects[i] for i in k], pa.string())], names=["doc_id", "subject"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id bigint, subject string").distinct()
 
