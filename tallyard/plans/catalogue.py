@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import skewed_repos
+from . import org_queries, rank_queries, skewed_repos, text_queries, vector_queries
 
-_MODULES = [skewed_repos]
+_MODULES = [vector_queries, text_queries, org_queries, rank_queries, skewed_repos]
 
 
 def queries() -> dict:
