@@ -175,7 +175,7 @@ def same_passage(item: list[int], at: int, passage: list[int], rare: np.ndarray)
     return False
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", dims: int = 192, min_cosine: float = 0.3) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", dims: int = 192, min_cosine: float = 0.45) -> DataFrame:
     """``<doc_key>, <item_key>`` of every document that holds a passage of an item.
 
     A passage is 20 consecutive words of the item, or all of a shorter item, of which one in ten may be changed, added
