@@ -23,6 +23,22 @@ def global_position(df: DataFrame, by: list[Column], name: str = "position") ->
     return kept.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
 
 
+def running_sums(df: DataFrame, by: list[Column], columns: list[str], prefix: str = "run_") -> DataFrame:
+    """``run_<c>``: sum of each column over the rows up to and with this one in the order ``by``, which must be unique.
+
+    Each range partition sums its own rows; the partitions before it add one number each. No task sees all rows.
+    """
+    kept = Stored(df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "running").df
+    start, table = [0] * len(columns), []
+    for r in sorted(kept.groupBy("__part").agg(*[F.sum(c) for c in columns]).collect()):  # a row for each partition
+        table.append((r[0], *start))
+        start = [a + (b or 0) for a, b in zip(start, r[1:])]
+    starts = df.sparkSession.createDataFrame(table, "__part int, " + ", ".join(f"__s{i} double" if isinstance(start[i], float) else f"__s{i} bigint" for i in range(len(columns))))
+    w = Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    out = kept.join(F.broadcast(starts), "__part")
+    return out.withColumns({f"{prefix}{c}": F.sum(c).over(w) + F.col(f"__s{i}") for i, c in enumerate(columns)}).drop("__part", *[f"__s{i}" for i in range(len(columns))])
+
+
 def first_per_group(df: DataFrame, keys: list[str], by: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each group in a stated order (F1, F3, D-8, G5, H7); Spark limits each group before and
     after the shuffle, so a large group never travels whole."""
@@ -53,8 +69,7 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     Rows are counted by score first; the running counts are over different scores only.
     """
     per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("cpos", F.sum("pos").over(w)).withColumn("cneg", F.sum("neg").over(w))
+    return running_sums(per, [F.desc("s")], ["pos", "neg"], "c")
 
 
 def auroc_ap(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -81,8 +96,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranks(c: str) -> DataFrame:
         n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return n.select(c, (below + (F.col("n") + 1) / 2).alias(f"__r_{c}"))
+        return running_sums(n, [F.col(c)], ["n"]).select(c, (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2).alias(f"__r_{c}"))
 
     joined = df.join(ranks(a), a).join(ranks(b), b)
     return joined.agg(F.corr(f"__r_{a}", f"__r_{b}").alias("spearman"))

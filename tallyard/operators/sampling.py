@@ -81,8 +81,9 @@ def group_folds(df: DataFrame, group: str, k: int, heavy: float = 0.001, buckets
 def class_folds(df: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
     """Rows with a ``fold``: each class is dealt out in hashed order, so folds hold like shares of it (K7)."""
     placed = global_position(df, [F.col(label), shuffle_key(F.col(key), seed=seed), F.col(key)])
-    starts = placed.groupBy(label).agg(F.min("position").alias("__start"))
-    return placed.join(F.broadcast(starts), F.col(label).eqNullSafe(starts[label]), "left").drop(starts[label]).withColumn("fold", F.pmod(F.col("position") - F.col("__start"), F.lit(k))).drop("position", "__start")
+    starts = placed.groupBy(F.col(label).alias("__class")).agg(F.min("position").alias("__start"))
+    own = placed.join(F.broadcast(starts), F.col(label).eqNullSafe(F.col("__class")))  # a row for each class
+    return own.withColumn("fold", F.pmod(F.col("position") - F.col("__start"), F.lit(k))).drop("position", "__start", "__class")
 
 
 def pair_draws(df: DataFrame, group: str, label: str, key: str, per_group: int, seed: int) -> DataFrame:
