@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import org_queries, rank_queries, skewed_repos, table_queries, text_queries, vector_queries
+from . import model_queries, org_queries, rank_queries, skewed_repos, table_queries, text_queries, vector_queries
 
-_MODULES = [vector_queries, text_queries, org_queries, rank_queries, table_queries, skewed_repos]
+_MODULES = [vector_queries, text_queries, org_queries, rank_queries, table_queries, model_queries, skewed_repos]
 
 
 def queries() -> dict:
