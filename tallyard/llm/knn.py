@@ -208,17 +208,18 @@ _PAIRS = "space string, q1 bigint, q2 bigint, c1 bigint, c2 bigint, cid bigint,
 
 
 def class_neighbours(
-    rows: DataFrame, k: int, min_cosine: float, dim: int, cell_rows: int = 65_536, sample_rows: int = 65_536, margin: float = 0.12, visits: int = 3
+    rows: DataFrame, k: int, min_cosine: float, dim: int, cell_rows: int = 65_536, sample_rows: int = 65_536, margin: float | None = None, visits: int | None = None
 ) -> DataFrame:
     """Pairs of classes (query class, candidate class, its smallest id, cosine), at most ``k`` a query and cell.
 
     Each space has one cell for ``cell_rows`` rows; the centroids are fitted on at most ``sample_rows`` rows in all (the
     only sample). A class is indexed in its nearest cell and also searched in up to ``visits`` - 1 others whose centroid
     is within ``margin`` of the nearest: a vector at cosine 0.9 moves the difference of two centroids' products by some
-    0.07. A cell that the sample shows to be crowded is divided into blocks by class hash, each searched by all its
+    0.07, so 0.12 and 3 do from 0.8 on; farther neighbours take 0.3 and 8, and more lists in a cell. A cell that the sample shows to be crowded is divided into blocks by class hash, each searched by all its
     queries.
     """
-    cells = fit_cells(rows, dim, cell_rows, sample_rows, margin, visits)
+    near = min_cosine >= 0.8
+    cells = fit_cells(rows, dim, cell_rows, sample_rows, margin or (0.12 if near else 0.3), visits or (3 if near else 8))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -257,7 +258,7 @@ def class_neighbours(
         _, at = np.unique(own[order], return_index=True)
         order = order[np.sort(at)]
         x = np.concatenate([_floats(c, dim) for c in group.column("vec").chunks])[order]
-        gq, gc, cos = scan_cell(x, int(h[order].sum()), own[order], k, min_cosine)
+        gq, gc, cos = scan_cell(x, int(h[order].sum()), own[order], k, min_cosine, 16 if near else 48)
         q, c = order[gq], order[gc]
         space = group.column("space")[0].as_py()
         return pa.table([pa.array([space] * len(q), pa.string()), h1[q], h2[q], h1[c], h2[c], ids[c], cos], names=["space", "q1", "q2", "c1", "c2", "cid", "cosine"])
@@ -317,5 +318,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _found(a, "embedding").unionByName(_found(b, "body_embedding"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar functions of every vector, however far: ``vec_set, id, neighbour, cosine``."""
+    emb = spark.read.parquet(f"{d}/function_embeddings.parquet")
+    body = spark.read.parquet(f"{d}/function_student_targets.parquet")
+    space = F.concat_ws("|", F.coalesce("model_name", F.lit("")), F.coalesce(F.col("layer_index").cast("string"), F.lit("")))
+    a = top_similar(emb, space, "id", "embedding", 5).withColumn("vec_set", F.lit("embedding"))
+    b = top_similar(body, F.lit("body"), "function_id", "body_embedding", 5).withColumn("vec_set", F.lit("body_embedding"))
+    return a.unionByName(b).select("vec_set", "id", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours}
 SQL: dict[str, str] = {}
