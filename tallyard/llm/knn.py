@@ -99,19 +99,30 @@ def scan_cell(
         out.append((q[r], cand[c]))
     if probes > 1:
         ends = [*range(block, dim, block), dim]
+
+        def limit(d: int, rows: np.ndarray) -> np.ndarray:
+            """Up to where the distance extrapolated from ``d`` dimensions may still belong to a neighbour."""
+            return reach[rows] * (1 + epsilon / np.sqrt(d)) ** 2 if d < dim else reach[rows] * 1.0001 + 1e-6
+
         for q, cand in groups(False):
-            d = ends[0]
-            a, b = unit[q, :d], home[cand, :d]
-            part = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-            r, c = np.nonzero(part * (dim / d) <= (reach[q] * (1 + epsilon / np.sqrt(d)) ** 2)[:, None])
+            part, at = None, 0
+            for lo, hi in zip([0, *ends], ends):
+                a, b = unit[q, lo:hi], home[cand, lo:hi]
+                step = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+                part = step if part is None else part + step
+                alive = part * (dim / hi) <= limit(hi, q)[:, None]
+                at = hi
+                # while many are left, whole blocks are cheaper than the pairs one by one
+                if hi == dim or np.count_nonzero(alive) < alive.size // 16:
+                    break
+            r, c = np.nonzero(alive)
             gq, gc, dist = q[r], cand[c], part[r, c]
-            for lo, hi in zip(ends, ends[1:]):
-                diff = unit[gq, lo:hi] - home[gc, lo:hi]
-                dist = dist + np.einsum("ij,ij->i", diff, diff)
-                scale = 1.0001 if hi == dim else (dim / hi) * 1.0
-                slack = 1.0 if hi == dim else (1 + epsilon / np.sqrt(hi)) ** 2
-                ok = dist * (1 if hi == dim else scale) <= reach[gq] * slack + 1e-6
-                gq, gc, dist = gq[ok], gc[ok], dist[ok]
+            for lo, hi in zip([0, *ends], ends):
+                if lo >= at:
+                    diff = unit[gq, lo:hi] - home[gc, lo:hi]
+                    dist = dist + np.einsum("ij,ij->i", diff, diff)
+                    ok = dist * (dim / hi) <= limit(hi, gq)
+                    gq, gc, dist = gq[ok], gc[ok], dist[ok]
             out.append((gq, gc))
     gq, gc = (np.concatenate(v) for v in zip(*out)) if out else none[:2]
     ok = own[gq] != own[gc]
