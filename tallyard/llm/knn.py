@@ -340,4 +340,15 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours}
-SQL: dict[str, str] = {}
+
+_TOP = """{n}_v AS (SELECT DISTINCT {space} AS space, {item} AS id, CAST({vec} AS DOUBLE[]) AS v FROM {t} WHERE len({vec}) = 64
+        AND len(list_filter({vec}, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter({vec}, lambda x: x <> 0)) > 0),
+    {n}_s AS (SELECT a.space, a.id, b.id AS o, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM {n}_v a JOIN {n}_v b ON a.space = b.space AND a.id <> b.id),
+    {n}_t AS (SELECT id, o, s FROM {n}_s QUALIFY row_number() OVER (PARTITION BY space, id ORDER BY s DESC, o) <= 5)"""
+_SETS = _TOP.format(n="e", space="model_name || '|' || layer_index", item="id", vec="embedding", t="function_embeddings") + ", " + _TOP.format(
+    n="b", space="'body'", item="function_id", vec="body_embedding", t="function_student_targets"
+)
+SQL = {
+    "p2_found": f"""WITH {_SETS} SELECT DISTINCT 'embedding' AS vec_set, least(id, o) AS id_a, greatest(id, o) AS id_b FROM e_t WHERE s >= 0.9
+        UNION ALL SELECT DISTINCT 'body_embedding' AS vec_set, least(id, o) AS id_a, greatest(id, o) AS id_b FROM b_t WHERE s >= 0.9"""
+}

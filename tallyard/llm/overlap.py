@@ -214,4 +214,21 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts}
-SQL: dict[str, str] = {}
+
+_PARTS = "string_split(instance_id, '__')"
+_NAMED = (
+    "regexp_replace(lower(CASE WHEN contains(instance_id, '#') THEN string_split(instance_id, '#')[1]"
+    f" WHEN len({_PARTS}) >= 3 AND regexp_full_match({_PARTS}[1], '[0-9]+') THEN {_PARTS}[2] || '/' || {_PARTS}[3] ELSE {_PARTS}[1] || '/' || {_PARTS}[2] END), '(\\.git|/|\\s)+$', '')"
+)
+_BARE = "regexp_replace(lower({c}), '\\s+', '', 'g')"
+_PAIRS = f"""who AS (SELECT DISTINCT id, {_NAMED} AS repo, feature_function FROM function_embeddings),
+    r AS (SELECT DISTINCT w.id, w.repo, s.split_name, {_BARE.format(c="w.feature_function")} AS name, {_BARE.format(c="t.body_text")} AS body, CAST(t.body_embedding AS DOUBLE[]) AS v
+        FROM who w JOIN repo_splits s ON s.repo = w.repo JOIN function_student_targets t ON t.function_id = w.id),
+    u AS (SELECT id, split_name, v FROM r WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+    pairs AS (SELECT a.id AS t, b.id AS e FROM u a JOIN u b ON a.split_name = 'train' AND b.split_name IN ('val', 'test') AND list_cosine_similarity(a.v, b.v) >= 0.98
+        UNION SELECT a.id, b.id FROM r a JOIN r b ON a.name = b.name AND a.body = b.body AND a.split_name = 'train' AND b.split_name IN ('val', 'test'))"""
+SQL = {
+    "p3_found": f"WITH {_PAIRS} SELECT least(t, e) AS function_id_a, greatest(t, e) AS function_id_b FROM pairs",
+    "p3_counts": f"""WITH {_PAIRS}, n AS (SELECT e, count(*) AS n FROM pairs GROUP BY 1), k AS (SELECT DISTINCT id, repo, split_name FROM r)
+        SELECT split_name, repo, count(*) AS n_functions, CAST(sum(n) AS BIGINT) AS n_pairs FROM n JOIN k ON k.id = e GROUP BY 1, 2""",
+}
