@@ -7,9 +7,14 @@ Lineage is cut with written tables, never with localCheckpoint: an executor may
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,11 +58,44 @@ def put_file(spark: SparkSession, data: bytes, label: str) -> str:
     later one, fetches it. Returns the name for ``SparkFiles.get``."""
     sc, name = spark.sparkContext, f"{label}-{uuid.uuid4().hex}"
     p = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/files/{name}")
-    out = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p)
+    _write(spark, p, data)
+    sc.addFile(p.toString())
+    return name
+
+
+def _write(spark: SparkSession, path, data: bytes) -> None:
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
     try:
         for at in range(0, len(data), 1 << 20):
             out.write(bytearray(data[at : at + (1 << 20)]))
     finally:
         out.close()
-    sc.addFile(p.toString())
-    return name
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each application, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    home, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.writestr(f"{home.name}/{p.relative_to(home)}", p.read_text())
+    p = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/files/{home.name}-{uuid.uuid4().hex}.zip")
+    _write(spark, p, data.getvalue())
+    sc.addPyFile(p.toString())
+    _SHIPPED.add(sc.applicationId)
+
+
+def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, preceded by ``ship_package``."""
+
+    @wraps(query)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, d)
+
+    return run
