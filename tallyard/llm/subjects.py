@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,17 @@ _CAMEL = re.compile(r"(?<=[^\W\d_A-ZÄÖÜ])(?=[A-ZÄÖÜ])")
 _SEGMENT = re.compile(r"[.!?]\s+|[\r\n]+")
 
 
+@lru_cache(200_000)
+def _parts(run: str) -> tuple[str, ...]:
+    """Words of a run of letters, in lower case."""
+    return tuple(p.lower() for p in (_CAMEL.split(run) if not (run.islower() or run.isupper()) else (run,)))
+
+
 def segments(text: str | None) -> list[list[str]]:
     """Words of each sentence or line; identifiers fall into their words."""
     out = []
     for s in _SEGMENT.split(text or ""):
-        w = [p.lower() for x in _RUN.findall(s) for p in (_CAMEL.split(x) if not (x.islower() or x.isupper()) else (x,))]
+        w = [p for x in _RUN.findall(s) for p in _parts(x)]
         if w:
             out.append(w)
     return out
