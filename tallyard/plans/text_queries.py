@@ -57,15 +57,26 @@ def refactor_mentions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def pr_transition_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Newest pull requests with sizes in range, as rows of plain values."""
-    p = spark.read.parquet(f"{d}/prs_copy.parquet")
+def transitions(prs: DataFrame, files: tuple[int, int] = (1, 120), sizes: tuple[int, int] = (5, 8000), newest: int | None = None) -> DataFrame:
+    """Pull requests with numbers of files and sizes in range, newest first, as rows of plain values (A7). The ranges are
+    the reference's. All rows without ``newest``; the reference's own default there is 30,000."""
     size = scores.whole(F.col("additions")) + scores.whole(F.col("deletions"))
-    rows = p.where(F.col("changed_files").between(1, 60) & size.between(1, 3000)).select(
+    rows = prs.where(F.col("changed_files").between(*files) & size.between(*sizes)).select(
         "id", "instance_id", F.coalesce(F.nullif(F.trim("pr_author"), F.lit("")), F.lit("unknown")).alias("author"), F.coalesce("pr_is_draft", F.lit(False)).alias("is_draft"),
         size.alias("size"), scores.whole(F.col("total_comments")).alias("n_comments"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"), "created_at",
     ).distinct()
-    return rows.orderBy(F.desc_nulls_first("created_at"), "id").limit(200).drop("created_at")
+    ordered = rows.orderBy(F.desc_nulls_first("created_at"), "id")
+    return (ordered if newest is None else ordered.limit(newest)).drop("created_at")
+
+
+def pr_transition_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A sample, the 200 newest pull requests of narrower ranges; ``pr_transition_all`` has all."""
+    return transitions(spark.read.parquet(f"{d}/prs_copy.parquet"), (1, 60), (1, 3000), 200)
+
+
+def pr_transition_all(spark: SparkSession, d: str) -> DataFrame:
+    """All pull requests that have patches, in the reference's ranges."""
+    return transitions(spark.read.parquet(f"{d}/prs_copy.parquet").where("patch is not null and file_patches is not null"))
 
 
 def size_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +85,7 @@ def size_parse(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "i int, printed string").select("i", text.human_size("printed").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (repo_slug_parse, module_and_base, diff_paths, name_quality, line_stats, json_props, refactor_mentions, pr_transition_rows, size_parse)}
+QUERIES = {f.__name__: f for f in (repo_slug_parse, module_and_base, diff_paths, name_quality, line_stats, json_props, refactor_mentions, pr_transition_rows, pr_transition_all, size_parse)}
 
 _JSON = lambda c: f"coalesce(TRY_CAST({c} AS JSON[]), [])"
 _REFACTOR = r"(?i)\b(refactor|restructure|split\s+this|extract\s+\w+|too\s+large|too\s+big|naming|cleanup|architecture|design)\b"
@@ -110,5 +121,9 @@ SQL = {
         coalesce(additions, 0) + coalesce(deletions, 0) AS size, CAST(coalesce(total_comments, 0) AS BIGINT) AS n_comments, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created
         FROM (SELECT DISTINCT id, instance_id, pr_author, pr_is_draft, CAST(additions AS BIGINT) AS additions, CAST(deletions AS BIGINT) AS deletions, total_comments, created_at, changed_files FROM prs_copy)
         WHERE changed_files BETWEEN 1 AND 60 AND coalesce(additions, 0) + coalesce(deletions, 0) BETWEEN 1 AND 3000 ORDER BY created_at DESC NULLS FIRST, id LIMIT 200""",
+    "pr_transition_all": """SELECT id, instance_id, author, is_draft, size, n_comments, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM (
+        SELECT DISTINCT id, instance_id, coalesce(nullif(trim(pr_author), ''), 'unknown') AS author, coalesce(pr_is_draft, false) AS is_draft,
+        CAST(coalesce(additions, 0) AS BIGINT) + CAST(coalesce(deletions, 0) AS BIGINT) AS size, CAST(coalesce(total_comments, 0) AS BIGINT) AS n_comments, created_at
+        FROM prs_copy WHERE patch IS NOT NULL AND file_patches IS NOT NULL AND changed_files BETWEEN 1 AND 120 AND coalesce(additions, 0) + coalesce(deletions, 0) BETWEEN 5 AND 8000)""",
     "size_parse": """SELECT * FROM (VALUES (0, 300::BIGINT), (1, 1024), (2, 1610612736), (3, 2097152), (4, 7696581394432), (5, NULL), (6, NULL), (7, NULL), (8, 12845056)) AS t(i, bytes)""",
 }
