@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyard.plans import catalogue
+from tallyard.plans import catalogue, table_queries
 
 
 def _pull_requests(spark, folder, n):
@@ -19,3 +19,16 @@ def test_all_transitions(spark, tmp_path):
     _pull_requests(spark, tmp_path, 400)
     got = [r["id"] for r in catalogue.queries()["pr_transition_all"](spark, str(tmp_path)).collect()]
     assert got == list(range(399, 0, -1))
+
+
+def test_full_pool(spark, tmp_path):
+    _pull_requests(spark, tmp_path, 400)
+    spark.range(0, 12_400).select(F.concat(F.lit("a__b__"), F.col("id") % 300).alias("instance_id")).write.parquet(f"{tmp_path}/function_static_props.parquet")
+    got = [r["id"] for r in catalogue.queries()["semi_pool_full"](spark, str(tmp_path)).collect()]
+    assert got == list(range(299, -1, -1))
+
+
+def test_pool_is_bounded_by_the_reference(spark):
+    prs = spark.range(12_050).select("id", F.col("id").cast("string").alias("instance_id"), F.lit(2).alias("changed_files"), F.timestamp_seconds("id").alias("created_at"))
+    got = {r["id"] for r in table_queries.newest_known(prs, prs).collect()}
+    assert got == set(range(50, 12_050))
