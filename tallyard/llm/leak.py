@@ -165,7 +165,9 @@ def same_passage(item: list[int], at: int, passage: list[int], rare: np.ndarray)
     miss = max(1, size // MISSED)
     have = set(passage)
     first, last = max(0, at - WINDOW // 2), min(len(item) - size, at + WINDOW // 2)
-    if lcs_length(item[first : last + size], passage) < size - miss:  # bounds that of every window in the stretch
+    stretch = item[first : last + size]
+    # the words in common bound the subsequence, and the stretch's subsequence that of every window in it
+    if sum(w in have for w in stretch) < size - miss or lcs_length(stretch, passage) < size - miss:
         return False
     for lo in range(first, last + 1):
         window = item[lo : lo + size]
@@ -175,13 +177,14 @@ def same_passage(item: list[int], at: int, passage: list[int], rare: np.ndarray)
     return False
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", dims: int = 192, min_cosine: float = 0.45) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", dims: int = 192, min_cosine: float = 0.2) -> DataFrame:
     """``<doc_key>, <item_key>`` of every document that holds a passage of an item.
 
     A passage is 20 consecutive words of the item, or all of a shorter item, of which one in ten may be changed, added
     or missing. Null and empty texts hold nothing and leak nothing; repeated documents each count; an empty table gives
     no rows. ``text`` is read of both tables; other columns aren't. The items are a stated query set of bounded size
-    (a few MB): they, their vocabulary and the latent space go to every task.
+    (a few MB): they, their vocabulary and the latent space go to every task. A passage amid other items' words has a low
+    cosine to its own item: ``min_cosine`` loses some of those (README, 8).
     """
     spark = docs.sparkSession
     kind = docs.schema[doc_key].dataType.simpleString()
