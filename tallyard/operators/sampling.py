@@ -43,8 +43,8 @@ def largest_cap(df: DataFrame, stratum: str, target: int) -> int:
     return lo
 
 
-def stratified_cap(df: DataFrame, stratum: str, key: str, target: int, seed: int) -> DataFrame:
-    """At most the largest cap of rows of each stratum, by hashed order (K2, K3)."""
+def stratified_cap(df: DataFrame, stratum: str, key: str, target: int = 50_000, seed: int = 42) -> DataFrame:
+    """At most the largest cap of rows of each stratum, by hashed order (K2, K3). ``target`` is the reference's."""
     cap = largest_cap(df, stratum, target)
     return first_per_group(df, [stratum], [shuffle_key(F.col(key), seed=seed), F.col(key)], cap)
 
@@ -86,8 +86,9 @@ def class_folds(df: DataFrame, label: str, key: str, k: int, seed: int) -> DataF
     return own.withColumn("fold", F.pmod(F.col("position") - F.col("__start"), F.lit(k))).drop("position", "__start", "__class")
 
 
-def pair_draws(df: DataFrame, group: str, label: str, key: str, per_group: int, seed: int) -> DataFrame:
+def pair_draws(df: DataFrame, group: str, label: str, key: str, per_group: int = 300, seed: int = 42) -> DataFrame:
     """``group, draw, pos, neg``: up to ``per_group`` pairs of a positive and a negative key, drawn with replacement (K8).
+    The default is the reference's.
 
     Draws are numbered and each takes its two members by hash, so no group's pairs are ever built. Members are numbered
     by global position, so a large group isn't gathered either. Groups without one of both classes give none.

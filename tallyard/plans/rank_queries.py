@@ -53,10 +53,18 @@ def group_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.group_split(r, "repo", 42)
 
 
+def _by_repo(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("repo", F.lit("(none)")).alias("repo"))
+
+
 def stratified_cap(spark: SparkSession, d: str) -> DataFrame:
-    """K2, K3, E32."""
-    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("repo", F.lit("(none)")).alias("repo"))
-    return sampling.stratified_cap(t, "repo", "doc_id", 600, 42).select("repo", "doc_id")
+    """A small target."""
+    return sampling.stratified_cap(_by_repo(spark, d), "repo", "doc_id", 600, 42).select("repo", "doc_id")
+
+
+def stratified_cap_full(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's target of 50,000."""
+    return sampling.stratified_cap(_by_repo(spark, d), "repo", "doc_id").select("repo", "doc_id")
 
 
 def bounded_anchors(spark: SparkSession, d: str) -> DataFrame:
@@ -76,10 +84,15 @@ def class_folds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_construct(spark: SparkSession, d: str) -> DataFrame:
-    """K8, K10."""
+    """30 draws of each group at most."""
     return sampling.pair_draws(_props(spark, d), "instance_id", "label", "id", 30, 42)
 
 
+def pair_construct_full(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's 300 draws of each group at most."""
+    return sampling.pair_draws(_props(spark, d), "instance_id", "label", "id")
+
+
 def candidate_packs(spark: SparkSession, d: str) -> DataFrame:
     """K9, L19."""
     p = spark.read.parquet(f"{d}/prs_copy.parquet").select("id", F.coalesce("changed_files", F.lit(0)).alias("size")).distinct()
@@ -87,7 +100,7 @@ def candidate_packs(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ranking.pack_quality(v, "id", "label", "size", "kind", "kind"))
 
 
-QUERIES = {f.__name__: f for f in (recall_mrr, topk_payload, auroc_ap, bacc_f1, spearman_r2, group_split, stratified_cap, bounded_anchors, group_folds, class_folds, pair_construct, candidate_packs)}
+QUERIES = {f.__name__: f for f in (recall_mrr, topk_payload, auroc_ap, bacc_f1, spearman_r2, group_split, stratified_cap, stratified_cap_full, bounded_anchors, group_folds, class_folds, pair_construct, pair_construct_full, candidate_packs)}
 
 _P = """p AS (SELECT DISTINCT id, instance_id, feature_function, CAST(has_side_effects AS INTEGER) AS label, coalesce(cyclomatic_complexity, 0) AS score, loc, n_branches, has_docstring FROM function_static_props)"""
 _R = f"{_P}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY instance_id ORDER BY score DESC NULLS LAST, id) AS INTEGER) AS rank FROM p)"
@@ -110,6 +123,9 @@ SQL = {
     "stratified_cap": """WITH t AS (SELECT doc_id, coalesce(repo, '(none)') AS repo FROM documents), c AS (SELECT repo, count(*) AS n FROM t GROUP BY 1), caps AS (SELECT unnest(range(0, (SELECT max(n) FROM c) + 1)) AS cap),
         best AS (SELECT max(cap) AS cap FROM (SELECT cap, sum(least(n, cap)) AS s FROM caps, c GROUP BY 1) WHERE s <= 600)
         SELECT repo, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY md5(doc_id || '|42'), doc_id) AS rn FROM t) WHERE rn <= (SELECT cap FROM best)""",
+    "stratified_cap_full": """WITH t AS (SELECT doc_id, coalesce(repo, '(none)') AS repo FROM documents), c AS (SELECT repo, count(*) AS n FROM t GROUP BY 1), caps AS (SELECT unnest(range(0, (SELECT max(n) FROM c) + 1)) AS cap),
+        best AS (SELECT max(cap) AS cap FROM (SELECT cap, sum(least(n, cap)) AS s FROM caps, c GROUP BY 1) WHERE s <= 50000)
+        SELECT repo, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY md5(doc_id || '|42'), doc_id) AS rn FROM t) WHERE rn <= (SELECT cap FROM best)""",
     "bounded_anchors": f"""WITH {_P}, r AS (SELECT feature_function, id, row_number() OVER (PARTITION BY feature_function ORDER BY md5(id || '|7'), id) AS rn FROM p WHERE feature_function IS NOT NULL)
         SELECT feature_function, id FROM r WHERE rn <= 2 ORDER BY md5(id || '|7'), id LIMIT 300""",
     "class_folds": f"WITH {_P}, q AS (SELECT DISTINCT id, label FROM p) SELECT id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(id || '|42'), id) - 1) % 5 AS INTEGER) AS fold FROM q",
@@ -117,6 +133,10 @@ SQL = {
         g AS (SELECT instance_id, count(*) FILTER (WHERE label = 1) AS np, count(*) FILTER (WHERE label = 0) AS nn FROM m GROUP BY 1), d AS (SELECT *, unnest(range(1, least(30, np * nn) + 1)) AS draw FROM g WHERE np > 0 AND nn > 0),
         w AS (SELECT instance_id, draw, CAST(floor({_U("instance_id", "draw", "'p'", "'42'")} * np) AS BIGINT) AS ip, CAST(floor({_U("instance_id", "draw", "'n'", "'42'")} * nn) AS BIGINT) AS iq FROM d)
         SELECT w.instance_id, CAST(draw AS INTEGER) AS draw, a.id AS pos, b.id AS neg FROM w JOIN n a ON a.instance_id = w.instance_id AND a.label = 1 AND a.i = ip JOIN n b ON b.instance_id = w.instance_id AND b.label = 0 AND b.i = iq""",
+    "pair_construct_full": f"""WITH {_P}, m AS (SELECT DISTINCT instance_id, label, id FROM p WHERE label IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY instance_id, label ORDER BY id) - 1 AS i FROM m),
+        g AS (SELECT instance_id, count(*) FILTER (WHERE label = 1) AS np, count(*) FILTER (WHERE label = 0) AS nn FROM m GROUP BY 1), d AS (SELECT *, unnest(range(1, least(300, np * nn) + 1)) AS draw FROM g WHERE np > 0 AND nn > 0),
+        w AS (SELECT instance_id, draw, CAST(floor({_U("instance_id", "draw", "'p'", "'42'")} * np) AS BIGINT) AS ip, CAST(floor({_U("instance_id", "draw", "'n'", "'42'")} * nn) AS BIGINT) AS iq FROM d)
+        SELECT w.instance_id, CAST(draw AS INTEGER) AS draw, a.id AS pos, b.id AS neg FROM w JOIN n a ON a.instance_id = w.instance_id AND a.label = 1 AND a.i = ip JOIN n b ON b.instance_id = w.instance_id AND b.label = 0 AND b.i = iq""",
     "candidate_packs": f"""WITH p AS (SELECT DISTINCT id, coalesce(changed_files, 0) AS size FROM prs_copy), v AS (SELECT id, kind, size * CASE kind WHEN 'wide' THEN 1 + 0.5 * {_U("id", "kind", "'42'")} WHEN 'wider' THEN 1 + 1.0 * {_U("id", "kind", "'42'")} WHEN 'narrow' THEN 1 - 0.5 * {_U("id", "kind", "'42'")} ELSE 1 END AS s FROM p, (SELECT unnest(['real', 'wide', 'wider', 'narrow']) AS kind)),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, kind) AS rank FROM v), real AS (SELECT id, rank, s FROM r WHERE kind = 'real'),
         g AS (SELECT r.id, any_value(real.rank) AS f, avg(CASE WHEN real.s > r.s THEN 1.0 ELSE 0 END) AS w FROM r JOIN real USING (id) WHERE kind <> 'real' GROUP BY 1)

@@ -32,3 +32,14 @@ def test_pool_is_bounded_by_the_reference(spark):
     prs = spark.range(12_050).select("id", F.col("id").cast("string").alias("instance_id"), F.lit(2).alias("changed_files"), F.timestamp_seconds("id").alias("created_at"))
     got = {r["id"] for r in table_queries.newest_known(prs, prs).collect()}
     assert got == set(range(50, 12_050))
+
+
+def test_full_draws_and_target(spark, tmp_path):
+    n = F.col("id")
+    spark.range(40).select(
+        "id", F.lit("a__b__1").alias("instance_id"), F.lit("f").alias("feature_function"), (n % 2 == 0).alias("has_side_effects"), F.lit(1).alias("cyclomatic_complexity"),
+        F.lit(1).alias("loc"), F.lit(1).alias("n_branches"), F.lit(True).alias("has_docstring"),
+    ).write.parquet(f"{tmp_path}/function_static_props.parquet")
+    spark.range(900).select(n.alias("doc_id"), F.lit("r").alias("repo")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.queries()["pair_construct_full"](spark, str(tmp_path)).count() == 300
+    assert catalogue.queries()["stratified_cap_full"](spark, str(tmp_path)).count() == 900
