@@ -1,4 +1,4 @@
-"""Linear heads, TF-IDF and their features."""
+"""Linear heads, TF-IDF and their features."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Sources (A1 to A24): tables, text logs and listings as DataFrames. All are lazy; filters are column expressions."""
+"""Sources (A1 to A4, A9 to A13, A16, A18, A21, A22, A24): tables, text logs and listings as DataFrames. All are lazy; filters are column expressions."""
 
 from __future__ import annotations
 
