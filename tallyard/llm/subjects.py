@@ -250,13 +250,16 @@ def train(sample: DataFrame, subjects: list[str], features: list[str], dim: int
     return p
 
 
-def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, max_labelled: int = 20_000, max_features: int = 30_000, **options) -> tuple[Model, float]:
-    """The model and its F1 on the held-out fifth of the labelled documents."""
+def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, max_labelled: int = 20_000, max_features: int = 30_000, least_docs: int | None = None, **options) -> tuple[Model, float]:
+    """The model and its F1 on the held-out fifth of the labelled documents.
+
+    ``least_docs``: labelled documents a feature must occur in; if not given, 3 where over 2,000 are trained on, else 2.
+    """
     subjects = sorted(r[0] for r in areas.select("subject").where("subject is not null").distinct().collect())
     both = Stored(labelled_documents(docs, labels, areas, subjects, max_labelled), "sample")
     sample, held = both.df.where("not held"), both.df.where("held")
     n = sample.count()
-    features = choose_features(sample, len(subjects), max_features, least_docs=3 if n > 2000 else 2) if subjects else []
+    features = choose_features(sample, len(subjects), max_features, least_docs=least_docs or (3 if n > 2000 else 2)) if subjects else []
     if not features:
         return Model(subjects, [], np.zeros((0, len(subjects)), np.float32), _LIMITS[0]), 0.0
     e, w, _ = train(sample, subjects, features, **options)

@@ -1,0 +1,12 @@
+"""Problem 9: the number of documents that a feature needs is a parameter."""
+
+from tallyard.llm import subjects
+
+
+def test_least_docs_is_given_on(spark, data, monkeypatch):
+    tables = [spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "doc_labels", "subject_areas")]
+    seen = []
+    monkeypatch.setattr(subjects, "choose_features", lambda *a, least_docs: seen.append(least_docs) or [])
+    subjects.fit(*tables, least_docs=4)
+    subjects.fit(*tables)
+    assert seen == [4, 2]
