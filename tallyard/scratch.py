@@ -40,17 +40,43 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Paths in the shared folder that are still there, each with the context's file system settings.
+_LEFT: dict[str, tuple] = {}
+
+
+def release() -> None:
+    """Delete every table and file that this process has put into the shared folder: to be called once the results that
+    read them are written. Also runs at the end of the process."""
+    for path, conf in list(_LEFT.items()):
+        try:
+            p = conf[0].org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf[1]).delete(p, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone: then nothing can be deleted from here
+            pass
+        _LEFT.pop(path, None)
+
+
+atexit.register(release)
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    _LEFT[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+
+
 class Stored:
-    """A written table: ``df`` reads it, ``drop()`` deletes it once nothing reads it any more."""
+    """A written table: ``df`` reads it, ``drop()`` deletes it once nothing reads it any more; ``release`` deletes what
+    a result still reads."""
 
     def __init__(self, df: DataFrame, label: str = "t"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/tables/{label}-{uuid.uuid4().hex}"
+        _remember(self.spark, self.path)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         drop_path(self.spark, self.path)
+        _LEFT.pop(self.path, None)
 
 
 def put_file(spark: SparkSession, data: bytes, label: str) -> str:
@@ -58,6 +84,7 @@ def put_file(spark: SparkSession, data: bytes, label: str) -> str:
     later one, fetches it. Returns the name for ``SparkFiles.get``."""
     sc, name = spark.sparkContext, f"{label}-{uuid.uuid4().hex}"
     p = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/files/{name}")
+    _remember(spark, p.toString())
     _write(spark, p, data)
     sc.addFile(p.toString())
     return name
