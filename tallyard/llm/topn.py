@@ -1,9 +1,9 @@
 """Leaders of every group, exactly, however large a group is (problem 1).
 
 One range-partitioned sort on (group, scores, identifier) puts the rows of all groups into one global order; a group of
-any size spans as many partitions as it needs. Each partition emits the first N rows of its groups with their place
-inside the partition, and its row count of each group; the counts of the earlier partitions, prefix-summed per group,
-turn the place into the exact position.
+any size spans as many partitions as it needs. Each partition keeps the first N rows of its groups with their place
+inside the partition and, of its first and its last group, the row count: only these two can reach into other
+partitions. The counts, two a partition, are prefix-summed and turn the places into exact positions.
 """
 
 from __future__ import annotations
@@ -14,84 +14,99 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCHEMA = "grp string, item bigint, place bigint, part int, n bigint"
+from ..scratch import Stored
+
+
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two columns agree; null agrees with null and NaN with NaN."""
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+    if pa.types.is_floating(a.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+    return same.to_numpy(zero_copy_only=False)
 
 
 def _leaders(n_top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        group, last, place = None, None, 0  # of the row before: its group, its whole key, its place
-        edges: list[tuple[str, int]] = []  # counts of the first and of the last group: only they can reach further
+        last, place = None, 0  # the row before, and how many different rows its group has so far
+        began, first_rows, first_group = 0, 0, None  # groups begun; the first group and, once it has ended, its rows
 
-        def batch(groups, items, places, counts):
+        def out(groups, items, places, leading, counts):
+            n = len(counts)
             return pa.RecordBatch.from_arrays(
-                [pa.array(groups, pa.string()), pa.array(items, pa.int64()), pa.array(places, pa.int64()), pa.array(np.full(len(counts), part, np.int32)), pa.array(counts, pa.int64())],
-                names=["grp", "item", "place", "part", "n"],
+                [groups, items, pa.array(places, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(np.asarray(leading, bool)), pa.array(counts, pa.int64())],
+                names=["grp", "item", "place", "part", "leading", "n"],
             )
 
-        first = None  # (group, rows) of the first group, once it has ended
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            g = b.column(0)
-            new = np.zeros(n, bool)
-            new[0] = g[0].as_py() != group
-            copy = np.zeros(n, bool)
-            new[1:] = pc.not_equal(g.slice(1), g.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            same = np.ones(n - 1, bool)
-            for c in b.columns:
-                v = pc.fill_null(c, "" if pa.types.is_string(c.type) else -(2**62))
-                same &= pc.equal(v.slice(1), v.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            copy[1:] = same
-            head = tuple(c[0].as_py() for c in b.columns)
-            copy[0] = head == last
-            seen = np.cumsum(~copy)
+            if last is None:
+                first_group = b.column(0).slice(0, 1)
+            before = b.slice(0, 1) if last is None else last
+            agree = [np.concatenate([_same(c.slice(0, 1), p), _same(c.slice(1), c.slice(0, n - 1))]) for c, p in zip(b.columns, before.columns)]
+            new = ~agree[0]
+            new[0] |= last is None
+            fresh = new | ~np.logical_and.reduce(agree)  # not a repetition of the row before
+            seen = np.cumsum(fresh)
             start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            before = np.where(start >= 0, seen[np.maximum(start, 0)] - 1, -place)
-            at = seen - before
-            if first is None and (ends := np.flatnonzero(new)).size:
-                # the first group ends where the second begins
-                e = ends[1] if group is None and ends.size > 1 else ends[0] if group is not None else None
-                if e is not None:
-                    first = (g[int(e) - 1].as_py(), int(at[e - 1])) if e > 0 else (group, place)
-            keep = np.flatnonzero((at <= n_top) & ~copy)
+            at = seen - np.where(start >= 0, seen[start] - 1, -place)
+            order = began + np.cumsum(new)  # number of each row's group
+            if began < 2 <= order[-1]:
+                end = int(np.searchsorted(order, 2))
+                first_rows = int(at[end - 1]) if end else place
+            keep = np.flatnonzero((at <= n_top) & fresh)
             if keep.size:
-                yield batch(g.take(pa.array(keep)), b.column(b.num_columns - 1).take(pa.array(keep)), at[keep], np.zeros(keep.size, np.int64))
-            group, place, last = g[n - 1].as_py(), int(at[-1]), tuple(c[n - 1].as_py() for c in b.columns)
-        if first is not None:
-            edges.append(first)
-        if group is not None:
-            edges.append((group, place))
-        if edges:
-            yield batch([e[0] for e in edges], [None] * len(edges), [0] * len(edges), [e[1] for e in edges])
+                pick = pa.array(keep)
+                yield out(b.column(0).take(pick), b.column(b.num_columns - 1).take(pick), at[keep], order[keep] == 1, np.zeros(keep.size, np.int64))
+            began, place, last = int(order[-1]), int(at[-1]), b.slice(n - 1, 1)
+        if last is not None:
+            none = pa.nulls(1, last.column(last.num_columns - 1).type)
+            if began > 1:
+                yield out(first_group, none, [0], [True], [first_rows])
+            yield out(last.column(0), none, [0], [began == 1], [place])
 
     return run
 
 
+def _offsets(edges: list[tuple]) -> list[tuple[int, int]]:
+    """(partition, rows that its first group has in earlier partitions), where there are any. ``edges``: for each
+    partition in order (number, whether it is the first group's count, group, rows)."""
+    found, group, rows = [], None, 0
+    for part, leading, g, n in edges:
+        same = leading and group is not None and (g == group or g != g and group != group)
+        if same:
+            found.append((part, rows))
+        group, rows = g, n + (rows if same else 0)
+    return found
+
+
 def top_n(df: DataFrame, group: str, scores: list[tuple[str, str]], item: str, n: int) -> DataFrame:
-    """The first ``n`` items of every group: ``grp string, item bigint, position bigint``.
+    """The first ``n`` items of every group: ``grp, item, position bigint``; grp and item keep their columns' types.
 
-    ``scores``: (column, "desc" or "asc") in order of weight, nulls last; ties go to the smaller ``item``. Rows with a
-    null group, item or first score aren't ranked. Rows equal in group, scores and item count once. A group of fewer
-    than ``n`` rows gives all of them; an empty table gives none. Other columns are not read.
+    ``scores``: (column, "desc" or "asc") in order of weight, of any ordered type, nulls last; NaN is above every number.
+    Ties go to the smaller ``item``. Rows with a null group, item or first score aren't ranked. Rows equal in group,
+    scores and item count once. A group of fewer than ``n`` rows gives all of them; an empty table gives none. Other
+    columns are not read. The driver gets two counts of each partition.
     """
-    flat = df.select(
-        F.col(group).cast("string").alias("grp"),
-        *[F.col(c).cast("bigint").alias(f"s{i}") for i, (c, _) in enumerate(scores)],
-        F.col(item).cast("bigint").alias("item"),
-    ).where(F.col("grp").isNotNull() & F.col("item").isNotNull() & F.col("s0").isNotNull())
+    flat = df.select(F.col(group).alias("grp"), *[F.col(c).alias(f"s{i}") for i, (c, _) in enumerate(scores)], F.col(item).alias("item"))
+    flat = flat.where(F.col("grp").isNotNull() & F.col("item").isNotNull() & F.col("s0").isNotNull())
     by = [F.col("grp"), *[F.col(f"s{i}").desc_nulls_last() if way == "desc" else F.col(f"s{i}").asc_nulls_last() for i, (_, way) in enumerate(scores)], F.col("item")]
-    local = flat.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_leaders(n), _SCHEMA)
-    earlier = Window.partitionBy("grp").orderBy("part").rangeBetween(Window.unboundedPreceding, -1)
-    return (
-        local.withColumn("position", F.col("place") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .where(F.col("item").isNotNull() & (F.col("position") <= n))
-        .select("grp", "item", "position")
-    )
+    kinds = {c: flat.schema[c].dataType.simpleString() for c in ("grp", "item")}
+    schema = f"grp {kinds['grp']}, item {kinds['item']}, place bigint, part int, leading boolean, n bigint"
+    stored = Stored(flat.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_leaders(n), schema), "leaders").df
+    edges = stored.where("item is null").select("part", "leading", "grp", "n").collect()
+    offsets = _offsets(sorted((tuple(e) for e in edges), key=lambda e: (e[0], not e[1])))
+    position = F.col("place")
+    if offsets:
+        before = F.broadcast(df.sparkSession.createDataFrame(offsets, "part int, earlier bigint"))  # at most a row a partition
+        stored = stored.join(before, "part", "left")
+        position = position + F.when(F.col("leading"), F.coalesce("earlier", F.lit(0))).otherwise(0)
+    return stored.where("item is not null").select("grp", "item", position.alias("position")).where(F.col("position") <= n)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

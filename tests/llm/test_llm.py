@@ -52,6 +52,16 @@ def test_top_n_of_one_group_over_many_partitions(spark):
     assert [r.item for r in got] == want and [r.position for r in got] == list(range(1, 1501))
 
 
+def test_top_n_keeps_types(spark):
+    rows = [("g", 0.1, "a"), ("g", 0.9, "b"), ("g", 0.5, "c"), ("g", float("nan"), "d"), ("g", float("nan"), "d"), ("h", -0.5, "e"), ("h", -0.25, "f"), ("h", None, "g")]
+    df = spark.createDataFrame(rows, "g string, s double, id string").repartition(3)
+    got = {(r.grp, r.position): r.item for r in topn.top_n(df, "g", [("s", "desc")], "id", 3).collect()}
+    assert got == {("g", 1): "d", ("g", 2): "b", ("g", 3): "c", ("h", 1): "f", ("h", 2): "e"}
+    days = spark.sql("select date'2024-01-01' + cast(id % 3 as int) g, timestamp_seconds(id) s, cast(id as decimal(9,2)) id from range(30)")
+    got = topn.top_n(days, "g", [("s", "asc")], "id", 1)
+    assert dict(got.dtypes) == {"grp": "date", "item": "decimal(9,2)", "position": "bigint"} and sorted(int(r.item) for r in got.collect()) == [0, 1, 2]
+
+
 def test_top_n_of_nothing(spark):
     assert topn.top_n(spark.createDataFrame([], "g string, s int, id bigint"), "g", [("s", "desc")], "id", 3).count() == 0
 
