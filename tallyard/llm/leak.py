@@ -3,12 +3,13 @@
 Latent semantic retrieval: passages of documents and of evaluation items become TF-IDF vectors over the items' words,
 with document frequencies of the whole corpus; a randomised SVD, whose sums run over all partitions, gives the latent
 space; passages near an item's passage by cosine are candidates; a candidate is a leak if the longest common
-subsequence with a window of the item is long enough and the window's own rare words are among it.
+subsequence with a window of the item is long enough and the window's answer, its rarest words, is among it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,20 +46,45 @@ class Items:
         self.windows = wins
 
 
-def document_frequency(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many documents each word of ``vocab`` occurs, and the number of documents, over the whole corpus."""
+def numbered(docs: DataFrame, doc_key: str, vocab: dict[str, int]) -> DataFrame:
+    """``<doc_key>, n_words int, at array<int>, ids array<int>``: the known words of each document and their places. The
+    corpus is read and cut into words only here."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    n_words = len(vocab)
+    kind = docs.schema[doc_key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, n, rows = shared.value, np.zeros(n_words, np.int64), 0
+        known = shared.value.get
         for b in batches:
-            for t in b.column(0).to_pylist():
-                rows += 1
-                n[[v[w] for w in set(words(t)) if w in v]] += 1
+            size, at, ids, lens = [], [], [], []
+            for t in b.column(1).to_pylist():
+                w = words(t)
+                own = np.fromiter((known(x, -1) for x in w), np.int32, len(w))
+                hit = np.flatnonzero(own >= 0)
+                size.append(len(w))
+                at.append(hit.astype(np.int32))
+                ids.append(own[hit])
+                lens.append(hit.size)
+            ends = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.empty(0, np.int32))) for x in (at, ids)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), *lists], names=[doc_key, "n_words", "at", "ids"])
+
+    return docs.select(doc_key, "text").mapInArrow(run, f"{doc_key} {kind}, n_words int, at array<int>, ids array<int>")
+
+
+def document_frequency(tokens: DataFrame, n_words: int) -> tuple[np.ndarray, int]:
+    """In how many documents each known word occurs, and the number of documents, over the whole corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, rows = np.zeros(n_words, np.int64), 0
+        for b in batches:
+            ids = b.column(0)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(ids.offsets.to_numpy()))
+            once = np.unique(doc * n_words + ids.flatten().to_numpy())
+            rows += b.num_rows
+            n += np.bincount(once % n_words, minlength=n_words)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(n_words)], pa.int32()), pa.array([rows, *n], pa.int64())], names=["word", "n"])
 
-    got = docs.select("text").mapInArrow(run, "word int, n bigint").where("n > 0").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    got = tokens.select("ids").mapInArrow(run, "word int, n bigint").where("n > 0").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(n_words + 1, np.int64)
     df[got.column("word").to_numpy()] = got.column("n").to_numpy()
     return df[:-1], int(df[-1])
@@ -107,7 +133,7 @@ def gram_product(passages: DataFrame, extra: list[np.ndarray], idf: np.ndarray,
         total, held = np.zeros((n_words, k)), []
         for batch in batches:
             for p in batch.column(0).to_pylist():
-                held.append(np.array([i for i in p if i >= 0], np.int64))
+                held.append(np.array(p, np.int64))
                 if len(held) >= 5000:
                     part(held, b, total)
                     held = []
@@ -158,102 +184,152 @@ def lcs_length(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def same_passage(item: list[int], at: int, passage: list[int], rare: np.ndarray) -> bool:
+def missed(size: int) -> int:
+    """How many words of a window of ``size`` words may be changed, added or missing: one in ten."""
+    return size // MISSED
+
+
+def same_passage(item: list[int], at: int, passage: list[int], answer: dict[int, list[int]]) -> bool:
     """Whether a window of the item near ``at`` lies in the passage: at most one word in ten missing from the common
-    subsequence, and no more of the words that make this item's answer its own (``rare``)."""
+    subsequence. Checked first is the answer: of a window's rarest words (``answer``: by place, one more than may be
+    missing) at least one must be there."""
     size = min(WINDOW, len(item))
-    miss = max(1, size // MISSED)
+    need = size - missed(size)
     have = set(passage)
     first, last = max(0, at - WINDOW // 2), min(len(item) - size, at + WINDOW // 2)
     stretch = item[first : last + size]
     # the words in common bound the subsequence, and the stretch's subsequence that of every window in it
-    if sum(w in have for w in stretch) < size - miss or lcs_length(stretch, passage) < size - miss:
+    if sum(w in have for w in stretch) < need or lcs_length(stretch, passage) < need:
         return False
     for lo in range(first, last + 1):
-        window = item[lo : lo + size]
-        own = [w for w in window if rare[w]]
-        if sum(w in have for w in own) >= len(own) - miss and lcs_length(window, passage) >= size - miss:
+        if have.isdisjoint(answer[lo]):
+            continue
+        if lcs_length(item[lo : lo + size], passage) >= need:
             return True
     return False
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", dims: int = 192, min_cosine: float = 0.2) -> DataFrame:
+class Windows:
+    """What a passage must hold to hold a window but for the words it may miss: at least one of its answer words (the
+    rarest, one more than may be missing), and as many known words and as much weight as the rest. Stated for each
+    answer word by the least of its windows, so an item of few words loosens the test for its own words only."""
+
+    def __init__(self, items: Items, idf: np.ndarray):
+        self.answers: list[dict[int, list[int]]] = []  # of each item: answer words by place of the window
+        self.mass, self.count = np.full(len(idf), np.inf), np.full(len(idf), np.iinfo(np.int64).max)
+        for w in items.words:
+            own, size = {}, min(WINDOW, len(w))
+            miss = missed(size)
+            for lo in range(len(w) - size + 1):
+                part = np.array(w[lo : lo + size])
+                order = part[np.lexsort((part, -idf[part]))]
+                rare = order[: miss + 1]
+                own[lo] = list(dict.fromkeys(rare.tolist()))
+                self.mass[rare] = np.minimum(self.mass[rare], idf[order[miss:]].sum())
+                self.count[rare] = np.minimum(self.count[rare], size - miss)
+            self.answers.append(own)
+
+    def passages(self, n: int, at: np.ndarray, ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the passages of a text of ``n`` words that may hold a window, and where in ``ids`` they lie."""
+        n_passages = max(1, -(-(n - (SPAN - STEP)) // STEP))
+        lo = np.arange(n_passages) * STEP
+        a, b = np.searchsorted(at, lo), np.searchsorted(at, lo + SPAN)
+        weight = np.concatenate([[0], np.cumsum(idf[ids])])
+        mass, count = weight[b] - weight[a], b - a
+        good = np.zeros(n_passages, bool)
+        key = np.flatnonzero(np.isfinite(self.mass[ids]))
+        for back in range(-(-SPAN // STEP)):
+            p = at[key] // STEP - back
+            ok = (p >= 0) & (p < n_passages)
+            ok[ok] &= at[key[ok]] < lo[p[ok]] + SPAN
+            p, w = p[ok], ids[key[ok]]
+            good[p[(mass[p] >= self.mass[w] - 1e-9) & (count[p] >= self.count[w])]] = True
+        p = np.flatnonzero(good)
+        return p, a[p], b[p]
+
+
+def leaked_items(
+    docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", dims: int = 192, min_cosine: float = 0.2, shard_chars: int = 4_000_000
+) -> DataFrame:
     """``<doc_key>, <item_key>`` of every document that holds a passage of an item.
 
     A passage is 20 consecutive words of the item, or all of a shorter item, of which one in ten may be changed, added
-    or missing. Null and empty texts hold nothing and leak nothing; repeated documents each count; an empty table gives
-    no rows. ``text`` is read of both tables; other columns aren't. The items are a stated query set of bounded size
-    (a few MB): they, their vocabulary and the latent space go to every task. A passage amid other items' words has a low
-    cosine to its own item: ``min_cosine`` loses some of those (README, 8).
+    or missing: two of 20, none of fewer than ten. Null and empty texts hold nothing and leak nothing; repeated
+    documents each count; an empty table gives no rows. ``text`` is read of both tables; other columns aren't. Items, their
+    vocabulary and latent space go to every task, so items of more than ``shard_chars`` characters in all are searched
+    shard by shard; whether an item leaks depends on no other item. A passage amid other items' words has a low cosine
+    to its own item: ``min_cosine`` may lose some of those (README, 8).
     """
+    items = items.select(item_key, F.col("text").cast("string").alias("text")).where(f"{item_key} is not null and text is not null").distinct()
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, -(-chars // shard_chars))
+    parts = [_leaked(docs, items.where(F.pmod(F.xxhash64(item_key), F.lit(shards)) == i), doc_key, item_key, dims, min_cosine) for i in range(shards)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _leaked(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, dims: int, min_cosine: float) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[doc_key].dataType.simpleString()
     ikind = items.schema[item_key].dataType.simpleString()
-    known = Items(sorted((r[0], r[1]) for r in items.select(item_key, "text").where(f"{item_key} is not null and text is not null").distinct().collect()))
+    known = Items(sorted((r[0], r[1]) for r in items.collect()))  # at most a shard
     docs = docs.select(doc_key, F.col("text").cast("string").alias("text")).where(f"{doc_key} is not null")
     if not known.ids:
         return spark.createDataFrame([], f"{doc_key} {kind}, {item_key} {ikind}")
-    df, n_docs = document_frequency(docs, known.vocab)
+    tokens = Stored(numbered(docs, doc_key, known.vocab), "tokens")
+    df, n_docs = document_frequency(tokens.df, len(known.vocab))
     idf = np.log((1 + n_docs) / (1 + df)) + 0.1
-    own = np.zeros(len(idf), np.int64)
-    for w in known.words:
-        own[list(set(w))] += 1
-    rare = own <= max(2, len(known.words) // 50)
-    # a passage that holds a window but for its allowed misses has at least this much weight and as many known words
-    least_mass, least_words = np.inf, WINDOW
-    for w in known.windows:
-        x = np.sort(idf[w])[::-1]
-        miss = max(1, len(w) // MISSED)
-        least_mass, least_words = min(least_mass, x[miss:].sum()), min(least_words, len(w) - miss)
-    shared = spark.sparkContext.broadcast((known.vocab, idf, least_mass, least_words))
+    wanted = Windows(known, idf)
+    shared = spark.sparkContext.broadcast((wanted, idf))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, idf, mass, count = shared.value
+        wanted, idf = shared.value
         for b in batches:
             keys, out = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                ids = np.array([vocab.get(w, -1) for w in words(t)], np.int64)
-                n = len(ids)
-                if n < count:
-                    continue
-                weight = np.concatenate([[0], np.cumsum(np.where(ids >= 0, idf[ids], 0))])
-                held = np.concatenate([[0], np.cumsum(ids >= 0)])
-                lo = np.arange(0, max(1, n - (SPAN - STEP)), STEP)
-                hi = np.minimum(lo + SPAN, n)
-                for at in np.flatnonzero((weight[hi] - weight[lo] >= mass - 1e-9) & (held[hi] - held[lo] >= count)):
+            size, at, ids = b.column(1).to_numpy(), b.column(2), b.column(3)
+            ends = at.offsets.to_numpy()
+            at, ids = at.flatten().to_numpy(), ids.flatten().to_numpy()
+            for i in np.flatnonzero(np.diff(ends)):
+                s = slice(ends[i] - ends[0], ends[i + 1] - ends[0])
+                for _, lo, hi in zip(*wanted.passages(int(size[i]), at[s], ids[s], idf)):
                     keys.append(i)
-                    out.append(ids[lo[at] : hi[at]].astype(np.int32))
+                    out.append(ids[s][lo:hi])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(out, pa.list_(pa.int32()))], names=[doc_key, "ids"])
 
-    passages = Stored(docs.mapInArrow(cut, f"{doc_key} {kind}, ids array<int>"), "passages").df
+    passages = Stored(tokens.df.mapInArrow(cut, f"{doc_key} {kind}, ids array<int>"), "passages")
+    tokens.drop()
     windows = [np.array(w, np.int64) for w in known.windows]
-    basis = latent_space(passages, windows, idf, dims)
+    basis = latent_space(passages.df, windows, idf, dims)
     name = put_file(spark, basis.tobytes(), "latent")
     latent = project(*tf_idf(windows, idf), len(windows), basis)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    query = spark.sparkContext.broadcast((known, idf, rare, latent, basis.shape))
+    query = spark.sparkContext.broadcast((known, idf, wanted.answers, latent, basis.shape))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf, rare, latent, shape = query.value
+        known, idf, answers, latent, shape = query.value
         basis = np.fromfile(SparkFiles.get(name), np.float32).reshape(shape)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
                 keys = b.column(0).to_pylist()
                 texts = b.column(1).to_pylist()
-                p = project(*tf_idf([np.array([w for w in t if w >= 0], np.int64) for t in texts], idf), len(texts), basis)
+                p = project(*tf_idf([np.array(t, np.int64) for t in texts], idf), len(texts), basis)
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
                 found: set = set()
-                for i, j in zip(*(x.tolist() for x in np.nonzero(p @ latent.T >= min_cosine))):
-                    item = known.win_item[j]
-                    if (keys[i], item) not in found and same_passage(known.words[item], known.win_at[j], texts[i], rare):
-                        found.add((keys[i], item))
+                for first in range(0, len(latent), 8192):  # the items' windows in blocks
+                    near = np.nonzero(p @ latent[first : first + 8192].T >= min_cosine)
+                    for i, j in zip(near[0].tolist(), (near[1] + first).tolist()):
+                        item = known.win_item[j]
+                        if (keys[i], item) not in found and same_passage(known.words[item], known.win_at[j], texts[i], answers[item]):
+                            found.add((keys[i], item))
                 pairs = sorted(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in pairs], b.schema.field(0).type), pa.array([known.ids[i] for _, i in pairs])], names=[doc_key, item_key]
+                    [pa.array([k for k, _ in pairs], b.schema.field(0).type), pa.array([known.ids[i] for _, i in pairs], whole_type)], names=[doc_key, item_key]
                 )
 
-    return passages.mapInArrow(match, f"{doc_key} {kind}, {item_key} {ikind}").distinct()
+    whole_type = items.select(item_key).limit(0).toArrow().schema.field(0).type
+    found = Stored(passages.df.mapInArrow(match, f"{doc_key} {kind}, {item_key} {ikind}").distinct(), "leaked").df
+    passages.drop()
+    return found
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -252,6 +252,17 @@ def test_leaks(spark):
     assert leak.leaked_items(d, i.limit(0)).count() == 0
 
 
+def test_short_items_are_whole_or_not_there(spark):
+    texts = [(1, "red paint and blue paint on walls"), (2, "so Red,\nblue GREEN it is"), (3, "red blue"), (4, "walls")]
+    docs = spark.createDataFrame([*texts, (5, "nothing of that at all")], "doc_id bigint, text string")
+    long = [(100 + i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(60)]
+    for extra in ([], long):  # other items change nothing
+        items = spark.createDataFrame([(7, "red blue green"), (8, "walls"), *extra], "item_id int, text string")
+        for size in (4_000_000, 4000):
+            got = sorted(map(tuple, leak.leaked_items(docs, items, shard_chars=size).collect()))
+            assert got == [(1, 8), (2, 7), (4, 8)]
+
+
 def test_subsequence():
     rng = random.Random(1)
     for _ in range(50):
