@@ -1,7 +1,8 @@
 """The k most similar vectors of every vector (problem 2).
 
-Vectors with equal values form a class, searched once. Classes are routed to cells of a coarse clustering, each cell
-to one task; a class also visits the cells that its neighbours may lie in. Inside a cell, vectors are rotated, put into
+Vectors with equal values form a class, searched once. Classes are routed to cells of a coarse clustering; a class also
+visits the cells that its neighbours may lie in. A crowded cell is cut into blocks on both sides, and a task is one
+block of members against one block of visitors. There, vectors are rotated, put into
 lists and scanned by adaptive dimension scan: a list's candidates are compared in blocks of rotated dimensions, and a
 hypothesis test on the partial distance drops a candidate as soon as its whole distance is unlikely to be among the
 best. What is left is computed exactly from the stored values, in double precision. All vectors are indexed and all
@@ -17,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_unique
+from ..scratch import Stored
+
 # ------------------------------------------------------------------ clustering
 
 
@@ -42,19 +46,22 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
 
 # --------------------------------------------------------------- scan of a cell
 
+#: Cosines that agree in so many digits are a tie: the last ones depend on the order of summation only.
+DIGITS = 9
+
 
 def scan_cell(
-    x: np.ndarray, n_home: int, own: np.ndarray, k: int, min_cosine: float, probes: int = 16, block: int = 16, epsilon: float = 2.1, seed: int = 5
+    x: np.ndarray, n_home: int, asks: np.ndarray, own: np.ndarray, k: int, min_cosine: float, probes: int = 16, block: int = 16, epsilon: float = 2.1, seed: int = 5
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbours (query row, home row, cosine) of all rows of ``x`` among its first ``n_home`` rows.
+    """Neighbours (query row, home row, cosine) of the rows ``asks`` of ``x`` among its first ``n_home`` rows.
 
     ``own``: class number of each row; a row isn't its own neighbour. At most ``k`` a query, none under
-    ``min_cosine``. ``epsilon``: width of the hypothesis test; a candidate is dropped after d dimensions if its
+    ``min_cosine``; cosines agree if they do in ``DIGITS`` digits. ``epsilon``: width of the hypothesis test; a candidate is dropped after d dimensions if its
     extrapolated distance exceeds the bound times (1 + epsilon / sqrt(d)) squared.
     """
     n, dim = x.shape
     none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    if not n_home or not n:
+    if not n_home or not asks.size:
         return none
     wide = x.astype(np.float64)
     norm = np.linalg.norm(wide, axis=1)
@@ -78,8 +85,8 @@ def scan_cell(
     out: list[tuple[np.ndarray, np.ndarray]] = []
 
     def groups(first: bool):
-        flat = visit[:, 0] if first else visit[:, 1:].ravel()
-        who = np.arange(n) if first else np.repeat(np.arange(n), probes - 1)
+        flat = visit[asks, 0] if first else visit[asks, 1:].ravel()
+        who = asks if first else np.repeat(asks, probes - 1)
         by = np.argsort(flat, kind="stable")
         at = np.searchsorted(flat[by], np.arange(n_lists + 1))
         for ell in range(n_lists):
@@ -132,7 +139,7 @@ def scan_cell(
         s = slice(i, i + 65_536)
         cos[s] = np.einsum("ij,ij->i", wide[gq[s]], wide[gc[s]]) / (norm[gq[s]] * norm[gc[s]])
     ok = cos >= min_cosine
-    gq, gc, cos = gq[ok], gc[ok], cos[ok]
+    gq, gc, cos = gq[ok], gc[ok], np.round(cos[ok], DIGITS)
     best = np.lexsort((gc, -cos, gq))  # home rows are in order of id: ties go to the smaller
     gq, gc, cos = gq[best], gc[best], cos[best]
     place = np.arange(len(gq)) - np.searchsorted(gq, gq)
@@ -163,35 +170,58 @@ def _floats(column: pa.Array, dim: int) -> np.ndarray:
 
 
 class Cells:
-    """Cells of a coarse clustering of each space; crowded cells are several blocks."""
+    """Cells of a coarse clustering of each space. A crowded cell has several blocks of members and of visitors; a task
+    is one block of each."""
+
+    def __init__(self, first: dict[str, int], book: dict[str, np.ndarray], margin: float, visits: int):
+        self.first, self.book, self.margin, self.visits = first, book, margin, visits
+        n = sum(len(c) for c in book.values())
+        self.members, self.guests = np.ones(n, np.int64), np.ones(n, np.int64)  # blocks of each cell
+        self.divide()
 
-    def __init__(self, first: dict[str, int], book: dict[str, np.ndarray], blocks: np.ndarray, margin: float, visits: int):
-        self.first, self.book, self.blocks, self.margin, self.visits = first, book, blocks, margin, visits
-        self.offset = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
+    def divide(self) -> None:
+        self.offset = np.concatenate([[0], np.cumsum(self.members * self.guests)]).astype(np.int64)
 
-    def visit(self, space: str, unit: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell, whether it is the row's home) of every cell that the rows visit. A row visits all blocks of a
-        cell; ``spread`` decides the block of its home cell that it lives in."""
+    @property
+    def tasks(self) -> int:
+        return int(self.offset[-1])
+
+    def near(self, space: str, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, cells) of each row's nearest cell, then of its second, and so on as far as the row visits."""
         score = unit @ self.book[space].T
         m = min(self.visits, score.shape[1])
-        top = np.argsort(-score, axis=1)[:, :m]
+        top = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < score.shape[1] else np.tile(np.arange(m), (len(score), 1))
         val = np.take_along_axis(score, top, 1)
-        who, cell, home = [], [], []
+        order = np.argsort(-val, axis=1)
+        top, val = np.take_along_axis(top, order, 1), np.take_along_axis(val, order, 1)
+        found = []
         for j in range(m):
             go = np.flatnonzero(val[:, j] >= val[:, 0] - self.margin)
-            c = self.first[space] + top[go, j]
-            nb = self.blocks[c]
-            mine = spread[go] % nb
-            for blk in range(int(nb.max(initial=0))):
-                there = nb > blk
-                who.append(go[there])
-                cell.append(self.offset[c[there]] + blk)
-                home.append((mine[there] == blk) & (j == 0))
-        return np.concatenate(who), np.concatenate(cell), np.concatenate(home)
+            found.append((go, self.first[space] + top[go, j]))
+        return found
+
+    def visit(self, space: str, unit: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, task, whether it is a member there, whether it asks there). A row is a member of one block of its
+        nearest cell, with every block of visitors, and asks every block of members from one block of visitors; ``spread`` decides which."""
+        who, task, member, asks = [], [], [], []
+        for j, (go, c) in enumerate(self.near(space, unit)):
+            nm, ng = self.members[c], self.guests[c]
+            h = spread[go].astype(np.uint64)
+            own, seat = (h % nm.astype(np.uint64)).astype(np.int64), (h // np.uint64(1 << 20) % ng.astype(np.uint64)).astype(np.int64)
+            for a in range(int(nm.max(initial=0))):
+                for b in range(int(ng.max(initial=0))):
+                    is_member, does_ask = (own == a) & (b < ng) & (j == 0), (seat == b) & (a < nm)
+                    ok = is_member | does_ask
+                    who.append(go[ok])
+                    task.append((self.offset[c] + a * ng + b)[ok])
+                    member.append(is_member[ok])
+                    asks.append(does_ask[ok])
+        return tuple(np.concatenate(x) for x in (who, task, member, asks))
 
 
 def fit_cells(rows: DataFrame, dim: int, cell_rows: int, sample_rows: int, margin: float, visits: int) -> Cells:
-    """One cell for ``cell_rows`` rows of each space, fitted on at most ``sample_rows`` rows in all."""
+    """One cell for ``cell_rows`` rows of each space, but for 16 sampled rows at least; the centroids are fitted on at
+    most ``sample_rows`` rows in all, which also tell how many rows a cell will have."""
     counts = {r["space"]: r["n"] for r in rows.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each model and layer
     total = sum(counts.values())
     fit: dict[str, list] = {s: [] for s in counts}
@@ -199,122 +229,123 @@ def fit_cells(rows: DataFrame, dim: int, cell_rows: int, sample_rows: int, margi
         for r in rows.select("space", "vec").sample(min(1.0, sample_rows / total), seed=3).limit(sample_rows).toArrow().to_batches():
             for s, v in zip(r.column(0).to_pylist(), _floats(r.column(1), dim)):
                 fit[s].append(v)
-    first, book, blocks = {}, {}, []
+    first, book, unit, at = {}, {}, {}, 0
     for s in sorted(counts):
         x = np.array(fit[s], np.float32).reshape(-1, dim)
-        n_cells = max(1, -(-counts[s] // cell_rows)) if len(x) else 1
-        if n_cells > 1:
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            cents = kmeans(x, n_cells, 8, 1)
-            share = np.bincount(np.argmax(x @ cents.T, 1), minlength=len(cents)) / len(x)
-        else:
-            cents, share = np.ones((1, dim), np.float32), np.ones(1)
-        first[s], book[s] = len(blocks), cents
-        blocks += [max(1, int(np.ceil(p * counts[s] / (2 * cell_rows)))) for p in share]
-    return Cells(first, book, np.array(blocks, np.int64), margin, visits)
-
-
-_ROUTED = "cell int, home boolean, space string, id bigint, h1 bigint, h2 bigint, vec array<float>"
+        n_cells = max(1, min(-(-counts[s] // cell_rows), len(x) // 16))
+        unit[s] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+        book[s] = kmeans(unit[s], n_cells, 8, 1) if n_cells > 1 else np.ones((1, dim), np.float32)
+        first[s], at = at, at + len(book[s])
+    cells = Cells(first, book, margin, visits)
+    for s in sorted(counts):
+        if len(unit[s]):
+            seen = cells.near(s, unit[s])
+            scale = counts[s] / len(unit[s]) / (2 * cell_rows)
+            cells.members[first[s] : first[s] + len(book[s])] = np.maximum(1, np.ceil(np.bincount(seen[0][1] - first[s], minlength=len(book[s])) * scale))
+            went = np.concatenate([c for _, c in seen]) - first[s]
+            cells.guests[first[s] : first[s] + len(book[s])] = np.maximum(1, np.ceil(np.bincount(went, minlength=len(book[s])) * scale / 2))
+    cells.divide()
+    return cells
+
+
+_ROUTED = "task int, member boolean, asks boolean, space string, id bigint, h1 bigint, h2 bigint, vec array<float>"
 _PAIRS = "space string, q1 bigint, q2 bigint, c1 bigint, c2 bigint, cid bigint, cosine double"
 
 
 def class_neighbours(
-    rows: DataFrame, k: int, min_cosine: float, dim: int, cell_rows: int = 65_536, sample_rows: int = 65_536, margin: float | None = None, visits: int | None = None
+    rows: DataFrame, k: int, min_cosine: float, dim: int, cell_rows: int = 16_384, sample_rows: int = 16_384, margin: float | None = None, visits: int | None = None
 ) -> DataFrame:
-    """Pairs of classes (query class, candidate class, its smallest id, cosine), at most ``k`` a query and cell.
+    """Pairs of classes (query class, candidate class, its smallest id, cosine), at most ``k`` a query and task.
 
     Each space has one cell for ``cell_rows`` rows; the centroids are fitted on at most ``sample_rows`` rows in all (the
     only sample). A class is indexed in its nearest cell and also searched in up to ``visits`` - 1 others whose centroid
     is within ``margin`` of the nearest: a vector at cosine 0.9 moves the difference of two centroids' products by some
-    0.07, so 0.12 and 3 do from 0.8 on; farther neighbours take 0.3 and 8, and more lists in a cell. A cell that the sample shows to be crowded is divided into blocks by class hash, each searched by all its
-    queries.
+    0.07, so 0.12 and 4 do from 0.8 on; farther neighbours take 0.3 and 12, and more lists in a cell. A cell that the
+    sample shows to be crowded is cut into blocks by class hash, of some 2 ``cell_rows`` members and twice as many visitors.
     """
     near = min_cosine >= 0.8
-    cells = fit_cells(rows, dim, cell_rows, sample_rows, margin or (0.12 if near else 0.3), visits or (3 if near else 8))
+    cells = fit_cells(rows, dim, cell_rows, sample_rows, margin or (0.12 if near else 0.3), visits or (4 if near else 12))
+    shared = rows.sparkSession.sparkContext.broadcast(cells)  # at most sample_rows / 16 centroids
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
                 b = whole.slice(lo, 4096)
                 space = b.column(0).to_pylist()
                 x = _floats(b.column(4), dim).astype(np.float32)
-                h1, h2 = (b.column(i).to_numpy() for i in (2, 3))
+                ids, h1, h2 = (b.column(i).to_numpy() for i in (1, 2, 3))
                 names = np.array(space, object)
-                take, cell, home = [], [], []
+                parts = []
                 for s in set(space):
                     at = np.flatnonzero(names == s)
                     # copies inside a portion travel once; their smallest id stands for them
-                    at = at[np.lexsort((b.column(1).to_numpy()[at], h2[at], h1[at]))]
+                    at = at[np.lexsort((ids[at], h2[at], h1[at]))]
                     fresh = np.ones(len(at), bool)
                     fresh[1:] = (h1[at][1:] != h1[at][:-1]) | (h2[at][1:] != h2[at][:-1])
                     at = at[fresh]
                     u = x[at] / np.linalg.norm(x[at].astype(np.float64), axis=1, keepdims=True).astype(np.float32)
-                    who, where, mine = cells.visit(s, u, h1[at])
-                    take.append(at[who])
-                    cell.append(where)
-                    home.append(mine)
-                t = np.concatenate(take)
-                sub = b.take(pa.array(t))
+                    who, *rest = cells.visit(s, u, h1[at])
+                    parts.append((at[who], *rest))
+                t, task, member, asks = (np.concatenate(v) for v in zip(*parts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(home)), *sub.columns], names=["cell", "home", "space", "id", "h1", "h2", "vec"]
+                    [pa.array(task.astype(np.int32)), pa.array(member), pa.array(asks), *b.take(pa.array(t)).columns], names=["task", "member", "asks", "space", "id", "h1", "h2", "vec"]
                 )
 
     def search(group: pa.Table) -> pa.Table:
-        # home rows first, in order of id; one row for each class
-        h = group.column("home").to_numpy()
+        # members first, in order of id; one row for each class
+        member = group.column("member").to_numpy()
         ids, h1, h2 = (group.column(c).to_numpy() for c in ("id", "h1", "h2"))
         _, own = np.unique(np.stack([h1, h2], 1), axis=0, return_inverse=True)
         own = own.ravel()
-        order = np.lexsort((ids, ~h))
+        order = np.lexsort((ids, ~member))
         _, at = np.unique(own[order], return_index=True)
         order = order[np.sort(at)]
         x = np.concatenate([_floats(c, dim) for c in group.column("vec").chunks])[order]
-        gq, gc, cos = scan_cell(x, int(h[order].sum()), own[order], k, min_cosine, 16 if near else 48)
+        asks = np.flatnonzero(group.column("asks").to_numpy()[order])
+        gq, gc, cos = scan_cell(x, int(member[order].sum()), asks, own[order], k, min_cosine, 16 if near else 48)
         q, c = order[gq], order[gc]
         space = group.column("space")[0].as_py()
         return pa.table([pa.array([space] * len(q), pa.string()), h1[q], h2[q], h1[c], h2[c], ids[c], cos], names=["space", "q1", "q2", "c1", "c2", "cid", "cosine"])
 
-    return rows.select("space", "id", "h1", "h2", "vec").mapInArrow(route, _ROUTED).groupBy("cell").applyInArrow(search, _PAIRS)
+    routed = rows.select("space", "id", "h1", "h2", "vec").mapInArrow(route, _ROUTED)
+    return routed.repartition(max(1, cells.tasks), "task").groupBy("task").applyInArrow(search, _PAIRS)
 
 
-def top_similar(df: DataFrame, space: Column, item: str, vec: str, k: int = 5, min_cosine: float = -1.0, dim: int = 64, salts: int = 16, **options) -> DataFrame:
+def top_similar(df: DataFrame, space: Column, item: str, vec: str, k: int = 5, min_cosine: float = -1.0, dim: int = 64, **options) -> DataFrame:
     """``space, id, neighbour, cosine``: the ``k`` most similar other rows of each row within its space.
 
-    Ties go to the smaller id; neighbours under ``min_cosine`` are left out. Rows with an unusable vector (null, not
-    ``dim`` numbers, a null or non-finite number, all zero) or a null id are neither queries nor neighbours; a row
-    delivered twice counts once; an empty table gives no row. Other columns are not read.
+    Ties, to ``DIGITS`` digits of the cosine, go to the smaller id; neighbours under ``min_cosine`` are left out. Rows
+    with an unusable vector (null, not ``dim`` numbers, a null or non-finite number, all zero) or a null id are neither
+    queries nor neighbours; a row delivered twice counts once; an empty table gives no row. Other columns are not read.
     """
     rows = with_class(df, F.coalesce(space.cast("string"), F.lit("")), item, vec, dim)
     key = ["space", "h1", "h2"]
-    members = rows.select(*key, "id")
+    members = Stored(rows.select(*key, "id").distinct(), "members").df
     # a member can only be among the best by being one of its class's k + 1 smallest ids
-    ranked = members.distinct().withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where(F.col("rn") <= k + 1)
+    ranked = members.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where(F.col("rn") <= k + 1)
     classes = ranked.groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    several = classes.where(F.size("ids") > 1)
-    # inside a class: all members, however many, against the smallest ids
-    spread = members.distinct().withColumn("salt", F.pmod(F.hash("id"), F.lit(salts)))
-    copies = (
-        spread.join(several.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))), [*key, "salt"])
-        .select("space", "id", F.explode(F.slice(F.filter("ids", lambda i: i != F.col("id")), 1, k)).alias("neighbour"))
-        .withColumn("cosine", F.lit(1.0))
-    )
     pairs = class_neighbours(rows, k, min_cosine, dim, **options)
-    q = [F.col(c).alias(n) for c, n in (("space", "space"), ("h1", "q1"), ("h2", "q2"), ("ids", "q_ids"))]
     c = [F.col(c).alias(n) for c, n in (("space", "space"), ("h1", "c1"), ("h2", "c2"), ("ids", "c_ids"))]
-    # members of small classes have places left for members of other classes, nearest class first
-    best = Window.partitionBy("space", "q1", "q2").orderBy(F.desc("cosine"), "cid")
+    entries = lambda ids, s: F.transform(ids, lambda i: F.struct((-s).alias("s"), i.alias("id")))
+    # a class's k + 1 best rows, its own among them: each member's best are these without itself
     others = (
-        pairs.withColumn("rn", F.row_number().over(best))
+        pairs.withColumn("rn", F.row_number().over(Window.partitionBy("space", "q1", "q2").orderBy(F.desc("cosine"), "cid")))
         .where(F.col("rn") <= k)
-        .join(classes.where(F.size("ids") <= k).select(*q), ["space", "q1", "q2"])
         .join(classes.select(*c), ["space", "c1", "c2"])
-        .withColumn("before", F.coalesce(F.sum(F.size("c_ids")).over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("room", F.lit(k + 1) - F.size("q_ids") - F.col("before"))
-        .where("room > 0")
-        .select("space", F.explode("q_ids").alias("id"), F.slice("c_ids", F.lit(1), F.col("room")).alias("c_ids"), "cosine")
-        .select("space", "id", F.explode("c_ids").alias("neighbour"), "cosine")
+        .groupBy("space", F.col("q1").alias("h1"), F.col("q2").alias("h2"))
+        .agg(F.flatten(F.collect_list(entries("c_ids", F.col("cosine")))).alias("found"))
+    )
+    own = entries("ids", F.lit(1.0))
+    best = classes.join(others, key, "left").select(
+        *key, "ids", F.slice(F.array_sort(F.concat(own, F.coalesce("found", F.slice(own, 1, 0)))), 1, k + 1).alias("best")
     )
-    return copies.unionByName(others)
+    # the ids of a small class are at hand; those of a large one, however many, take its list
+    small = best.where(F.size("ids") <= k).select("space", F.explode("ids").alias("id"), "best")
+    large = best.where(F.size("ids") > k).select(F.struct(*key).alias("class"), "best")
+    spread = join_unique(members.select("space", "id", F.struct(*key).alias("class")), large, "class").select("space", "id", "best")
+    near = small.unionByName(spread).select("space", "id", F.explode(F.slice(F.filter("best", lambda e: e["id"] != F.col("id")), 1, k)).alias("e"))
+    return near.select("space", "id", F.col("e")["id"].alias("neighbour"), (-F.col("e")["s"]).alias("cosine"))
 
 
 def _found(near: DataFrame, name: str) -> DataFrame:
@@ -350,5 +381,7 @@ _SETS = _TOP.format(n="e", space="model_name || '|' || layer_index", item="id",
 )
 SQL = {
     "p2_found": f"""WITH {_SETS} SELECT DISTINCT 'embedding' AS vec_set, least(id, o) AS id_a, greatest(id, o) AS id_b FROM e_t WHERE s >= 0.9
-        UNION ALL SELECT DISTINCT 'body_embedding' AS vec_set, least(id, o) AS id_a, greatest(id, o) AS id_b FROM b_t WHERE s >= 0.9"""
+        UNION ALL SELECT DISTINCT 'body_embedding' AS vec_set, least(id, o) AS id_a, greatest(id, o) AS id_b FROM b_t WHERE s >= 0.9""",
+    "p2_neighbours": f"""WITH {_SETS} SELECT 'embedding' AS vec_set, id, o AS neighbour, round(s, 6) AS cosine FROM e_t
+        UNION ALL SELECT 'body_embedding' AS vec_set, id, o AS neighbour, round(s, 6) AS cosine FROM b_t""",
 }

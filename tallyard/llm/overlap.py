@@ -111,9 +111,9 @@ def vector_matches(rows: DataFrame, min_cosine: float, dim: int = 64, cell_rows:
                 unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
                 train, h1, h2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
                 _, one = np.unique(np.stack([train.astype(np.int64), h1, h2], 1), axis=0, return_index=True)
-                who, cell, home = cells.visit("", unit[one], h1[one])
+                who, cell, home, asks = cells.visit("", unit[one], h1[one])
                 who = one[who]
-                ok = train[who] | home
+                ok = np.where(train[who], asks, home)
                 yield pa.RecordBatch.from_arrays([pa.array(cell[ok].astype(np.int32)), *b.take(pa.array(who[ok])).columns[1:]], names=["cell", "train", "h1", "h2", "vec"])
 
     def search(group: pa.Table) -> pa.Table:

@@ -167,6 +167,33 @@ def test_neighbours_recall(spark, cell):
     assert recall > 0.9
 
 
+def test_equal_directions_tie(spark):
+    v = np.random.default_rng(3).standard_normal(DIM).astype(np.float32)
+    df = spark.createDataFrame([(i, ((1 + i % 2) * v).tolist()) for i in range(1, 30)], "id bigint, v array<float>").repartition(4)
+    got = defaultdict(list)
+    for r in knn.top_similar(df, F.lit("s"), "id", "v", 5).collect():
+        got[r.id].append(r.neighbour)
+    assert {i: sorted(g) for i, g in got.items()} == {i: [j for j in range(1, 7) if j != i][:5] for i in range(1, 30)}
+
+
+def test_crowded_cells_are_cut_on_both_sides(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal(DIM) + 0.4 * rng.standard_normal((1500, DIM))).astype(np.float32)  # one crowd
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id bigint, v array<float>")
+    rows = knn.with_class(df, F.lit("s"), "id", "v", DIM)
+    cells = knn.fit_cells(rows, DIM, 100, 64, 0.3, 8)
+    assert len(cells.book["s"]) > 1 and cells.members.max() > 2 and cells.guests.max() > 2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    who, task, member, asks = cells.visit("s", u, np.random.default_rng(1).integers(-(2**62), 2**62, len(x)))
+    assert (np.bincount(task[member]) <= 500).all() and (np.bincount(task[asks]) <= 900).all()
+    want = brute(x, ids, 5)
+    got = defaultdict(set)
+    for r in knn.top_similar(df, F.lit("s"), "id", "v", 5, cell_rows=100, sample_rows=64).collect():
+        got[r.id].add(r.neighbour)
+    assert np.mean([len(got[i] & set(w)) / 5 for i, w in want.items()]) > 0.9
+
+
 def test_hot_copies_and_dirt(spark):
     rng = np.random.default_rng(1)
     hot, other = rng.standard_normal(DIM).tolist(), rng.standard_normal(DIM).tolist()
