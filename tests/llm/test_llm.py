@@ -214,15 +214,65 @@ def test_hot_copies_and_dirt(spark):
 
 def test_backward_search_finds_what_it_should():
     rng = np.random.default_rng(3)
-    strings = [rng.integers(1, 4, rng.integers(1, 9)) for _ in range(60)]
-    index = fmindex.FMIndex(np.concatenate(strings), np.array([len(s) for s in strings]))
-    asked = [rng.integers(1, 4, n) for n in (1, 2, 3, 4)] + [np.array([9])]
-    p, s = index.whole(np.concatenate(asked), np.array([len(a) for a in asked]))
-    text = [" ".join(map(str, x)) for x in strings]
-    for i, a in enumerate(asked):
-        want = [(" " + t + " ").count("".join(f" {c}" for c in a) + " ") for t in text]
-        got = np.bincount(s[p == i], minlength=60)
-        assert [bool(x) for x in got] == [bool(x) for x in want]
+    for _ in range(40):
+        strings = [rng.integers(1, 4, rng.integers(1, 12)) for _ in range(rng.integers(1, 30))]
+        index = fmindex.FMIndex(np.concatenate(strings), [len(s) for s in strings])
+        asked = [rng.integers(1, 5, n) for n in (1, 2, 3, 4, 7)] + [np.array([9])]
+        lens = np.array([len(a) for a in asked])
+        which, lo, hi = index.search(index.numbers(np.concatenate(asked)), np.cumsum(lens), lens)
+        at, place = index.places(lo, hi)
+        string = np.searchsorted(index.starts, place, side="right") - 1
+        got = set(zip(which[at].tolist(), string.tolist(), (place - index.starts[string]).tolist()))
+        assert got == {(i, j, o) for i, a in enumerate(asked) for j, s in enumerate(strings) for o in range(len(s) - len(a) + 1) if (s[o : o + len(a)] == a).all()}
+
+
+def test_maximal_matches_at_their_places():
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, 3, (n, 9)) + np.arange(9) * 3 + 1 for n in (20, 15))
+    p, s, n, size = fmindex.place_matches(fmindex.FMIndex(b.ravel(), [9] * 15), a, 2)
+    got = {(i, j): (k, m) for i, j, k, m in zip(p.tolist(), s.tolist(), n.tolist(), size.tolist())}
+    want = {}
+    for i in range(20):
+        for j in range(15):
+            pieces = "".join("x" if e else " " for e in a[i] == b[j]).split()
+            if own := [len(x) for x in pieces if len(x) > 1]:
+                want[i, j] = (len(own), sum(own))
+    assert got == want
+
+
+def test_maximal_matches_of_texts():
+    x = np.arange(10, 60)
+    y = x.copy()
+    y[20] = 5
+    index = fmindex.FMIndex(np.concatenate([y, np.arange(100, 140), [7], np.tile([3, 4], 20_000)]), [50, 40, 1, 40_000])
+    m = fmindex.text_matches(index, x, [50], 5, 0.8)
+    assert {k: v.tolist() for k, v in m.items()} == {"pattern": [0], "string": [0], "spans": [2], "matched": [49], "lo": [0], "hi": [50]}
+    m = fmindex.text_matches(index, np.concatenate([[7], np.tile([3, 4], 20_000), x[:30], x[::-1]]), [1, 40_000, 30, 50], 5, 0.8)
+    assert m["pattern"].tolist() == [0, 1] and m["string"].tolist() == [2, 3] and m["spans"].tolist() == [1, 1] and m["matched"].tolist() == [1, 40_000]
+
+
+def test_near_texts_in_shards(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(5000))
+    kept = [[word() for _ in range(rng.choice([3, 30, 60]))] for _ in range(120)]
+    sent = []
+    for i, t in enumerate(kept):
+        t = list(t)
+        if i % 3:
+            t[len(t) // 2] = "other"
+        sent.append(t)
+    rows = [(False, i, i, ".".join(t)) for i, t in enumerate(kept)] + [(True, i if i % 3 == 0 else 1000 + i, i, ".".join(t)) for i, t in enumerate(sent)]
+    df = spark.createDataFrame(rows, "train boolean, h1 bigint, h2 bigint, txt string").repartition(3)
+    for tokens in (10**6, 2000):
+        got = {r.e1: r for r in overlap.matching_texts(df, 0.8, shard_tokens=tokens).collect()}
+        for i, t in enumerate(kept):
+            if i % 3 == 0:
+                assert got[i].n_spans == 1 and got[i].n_matched == got[i].n_train == got[i].n_eval
+            elif len(t) > 3:
+                assert got[i].t1 == 1000 + i and got[i].n_spans == 2 and got[i].n_matched == got[i].n_train - 1 and got[i].first == 0 and got[i]["last"] == got[i].n_train
+            else:
+                assert i not in got  # too short to have a run of nine
+        assert {r.e1 for r in overlap.matching_texts(df, 1.0, shard_tokens=tokens).collect()} == set(range(0, 120, 3))
 
 
 def test_cross_split_overlaps(spark):
@@ -241,6 +291,11 @@ def test_cross_split_overlaps(spark):
     assert len(want) > 90
     want |= {(i, 1000 + i) for i in range(90) if i % 2} | {(5003, 5002)}
     assert got == want
+    n = defaultdict(int)
+    for _, e in want:
+        n[e] += 1
+    assert {r.eval_id: r.n for r in overlap.Overlaps(df).counts().collect()} == n
+    assert overlap.Overlaps(df.where("train")).counts().count() == 0
     assert overlap.cross_split_matches(df.where("train")).count() == 0
     assert overlap.cross_split_matches(df.limit(0)).count() == 0
 
