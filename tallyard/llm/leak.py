@@ -189,18 +189,22 @@ def missed(size: int) -> int:
     return size // MISSED
 
 
+def stretch_of(item: list[int], at: int) -> tuple[int, int, int]:
+    """First and last place of the windows of the item near ``at``, and their size."""
+    size = min(WINDOW, len(item))
+    return max(0, at - WINDOW // 2), min(len(item) - size, at + WINDOW // 2), size
+
+
 def same_passage(item: list[int], at: int, passage: list[int], answer: dict[int, list[int]]) -> bool:
     """Whether a window of the item near ``at`` lies in the passage: at most one word in ten missing from the common
     subsequence. Checked first is the answer: of a window's rarest words (``answer``: by place, one more than may be
     missing) at least one must be there."""
-    size = min(WINDOW, len(item))
+    first, last, size = stretch_of(item, at)
     need = size - missed(size)
-    have = set(passage)
-    first, last = max(0, at - WINDOW // 2), min(len(item) - size, at + WINDOW // 2)
-    stretch = item[first : last + size]
-    # the words in common bound the subsequence, and the stretch's subsequence that of every window in it
-    if sum(w in have for w in stretch) < need or lcs_length(stretch, passage) < need:
+    # the stretch's subsequence bounds that of every window in it
+    if lcs_length(item[first : last + size], passage) < need:
         return False
+    have = set(passage)
     for lo in range(first, last + 1):
         if have.isdisjoint(answer[lo]):
             continue
@@ -229,6 +233,28 @@ class Windows:
                 self.count[rare] = np.minimum(self.count[rare], size - miss)
             self.answers.append(own)
 
+        # words of the stretch around each window, filled up with a word that no passage has, and how many are needed
+        self.stretch = np.full((len(items.windows), 2 * WINDOW), len(idf), np.int32)
+        self.need = np.empty(len(items.windows), np.int64)
+        for j, (n, at) in enumerate(zip(items.win_item, items.win_at)):
+            first, last, size = stretch_of(items.words[n], at)
+            own = items.words[n][first : last + size]
+            self.stretch[j, : len(own)], self.need[j] = own, size - missed(size)
+
+    def shared(self, texts: list[list[int]], row: np.ndarray, window: np.ndarray, n_words: int) -> np.ndarray:
+        """Which of the pairs (text, window) have as many words of the window's stretch in common as a match needs."""
+        ok = np.zeros(len(row), bool)
+        step = max(1, 20_000_000 // (n_words + 1))
+        for lo in range(0, len(texts), step):
+            part = texts[lo : lo + step]
+            have = np.zeros((len(part), n_words + 1), bool)
+            have[np.repeat(np.arange(len(part)), [len(t) for t in part]), np.concatenate(part)] = True
+            mine = np.flatnonzero((row >= lo) & (row < lo + step))
+            for i in range(0, len(mine), 100_000):
+                m = mine[i : i + 100_000]
+                ok[m] = have[row[m][:, None] - lo, self.stretch[window[m]]].sum(1) >= self.need[window[m]]
+        return ok
+
     def passages(self, n: int, at: np.ndarray, ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the passages of a text of ``n`` words that may hold a window, and where in ``ids`` they lie."""
         n_passages = max(1, -(-(n - (SPAN - STEP)) // STEP))
@@ -302,10 +328,10 @@ def _leaked(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, dims
     name = put_file(spark, basis.tobytes(), "latent")
     latent = project(*tf_idf(windows, idf), len(windows), basis)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    query = spark.sparkContext.broadcast((known, idf, wanted.answers, latent, basis.shape))
+    query = spark.sparkContext.broadcast((known, idf, wanted, latent, basis.shape))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf, answers, latent, shape = query.value
+        known, idf, wanted, latent, shape = query.value
         basis = np.fromfile(SparkFiles.get(name), np.float32).reshape(shape)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
@@ -316,10 +342,11 @@ def _leaked(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, dims
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
                 found: set = set()
                 for first in range(0, len(latent), 8192):  # the items' windows in blocks
-                    near = np.nonzero(p @ latent[first : first + 8192].T >= min_cosine)
-                    for i, j in zip(near[0].tolist(), (near[1] + first).tolist()):
+                    row, window = np.nonzero(p @ latent[first : first + 8192].T >= min_cosine)
+                    ok = wanted.shared(texts, row, window + first, len(idf))
+                    for i, j in zip(row[ok].tolist(), (window[ok] + first).tolist()):
                         item = known.win_item[j]
-                        if (keys[i], item) not in found and same_passage(known.words[item], known.win_at[j], texts[i], answers[item]):
+                        if (keys[i], item) not in found and same_passage(known.words[item], known.win_at[j], texts[i], wanted.answers[item]):
                             found.add((keys[i], item))
                 pairs = sorted(found)
                 yield pa.RecordBatch.from_arrays(
