@@ -186,6 +186,11 @@ class Cells:
     def tasks(self) -> int:
         return int(self.offset[-1])
 
+    @property
+    def parts(self) -> int:
+        """Partitions for the tasks: three times as many, so that few share one."""
+        return max(1, 3 * self.tasks)
+
     def near(self, space: str, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(rows, cells) of each row's nearest cell, then of its second, and so on as far as the row visits."""
         score = unit @ self.book[space].T
@@ -253,7 +258,7 @@ _PAIRS = "space string, q1 bigint, q2 bigint, c1 bigint, c2 bigint, cid bigint,
 
 
 def class_neighbours(
-    rows: DataFrame, k: int, min_cosine: float, dim: int, cell_rows: int = 16_384, sample_rows: int = 16_384, margin: float | None = None, visits: int | None = None
+    rows: DataFrame, k: int, min_cosine: float, dim: int, cell_rows: int = 8192, sample_rows: int = 16_384, margin: float | None = None, visits: int | None = None
 ) -> DataFrame:
     """Pairs of classes (query class, candidate class, its smallest id, cosine), at most ``k`` a query and task.
 
@@ -309,7 +314,7 @@ def class_neighbours(
         return pa.table([pa.array([space] * len(q), pa.string()), h1[q], h2[q], h1[c], h2[c], ids[c], cos], names=["space", "q1", "q2", "c1", "c2", "cid", "cosine"])
 
     routed = rows.select("space", "id", "h1", "h2", "vec").mapInArrow(route, _ROUTED)
-    return routed.repartition(max(1, cells.tasks), "task").groupBy("task").applyInArrow(search, _PAIRS)
+    return routed.repartition(cells.parts, "task").groupBy("task").applyInArrow(search, _PAIRS)
 
 
 def top_similar(df: DataFrame, space: Column, item: str, vec: str, k: int = 5, min_cosine: float = -1.0, dim: int = 64, **options) -> DataFrame:

@@ -159,7 +159,7 @@ def _signature(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
 
 
 def matching_vectors(
-    rows: DataFrame, min_cosine: float, dim: int = 64, cell_rows: int = 16_384, sample_rows: int = 16_384, margin: float = 0.1, turns: int = 8, least: int = 2, symbols: int = 3
+    rows: DataFrame, min_cosine: float, dim: int = 64, cell_rows: int = 8192, sample_rows: int = 16_384, margin: float = 0.1, turns: int = 8, least: int = 2, symbols: int = 3
 ) -> DataFrame:
     """Pairs of classes with cosine of at least ``min_cosine``: rows ``space, train, h1, h2, vec``.
 
@@ -210,7 +210,7 @@ def matching_vectors(
         return pa.table([h1[t], h2[t], h1[e], h2[e]], names=["t1", "t2", "e1", "e2"])
 
     sent = rows.select("space", "train", "h1", "h2", "vec").mapInArrow(route, _VECTOR)
-    return sent.repartition(max(1, cells.tasks), "task").groupBy("task").applyInArrow(search, _FOUND).distinct()
+    return sent.repartition(cells.parts, "task").groupBy("task").applyInArrow(search, _FOUND).distinct()
 
 
 # --------------------------------------------------------------------- together
@@ -230,9 +230,11 @@ class Overlaps:
         flat = rows.where("id is not null and train is not null").select(
             "id", "train", F.when(usable("vec", dim), F.col("vec").cast("array<float>")).alias("vec"), F.concat(bare("name"), F.lit("\x00"), bare("body")).alias("txt")
         )
-        self.base = flat.withColumns(
+        hashed = flat.withColumns(
             {"v1": F.when(F.col("vec").isNotNull(), F.xxhash64("vec")), "v2": F.xxhash64(F.lit(1), "vec"), "x1": F.xxhash64("txt"), "x2": F.xxhash64(F.lit(1), "txt")}
         )
+        self._stored = Stored(hashed, "records")
+        self.base = self._stored.df
         #: One row for each record: its id, side and classes.
         self.members = Stored(self.base.select("id", "train", *[F.when(F.col(a).isNotNull(), F.col(c)).alias(c) for a, c in (("txt", "x1"), ("txt", "x2"), ("v1", "v1"), ("v1", "v2"))]).distinct(), "members").df
         self.min_cosine, self.dim = min_cosine, dim
@@ -249,6 +251,12 @@ class Overlaps:
         equal too, and not only their tokens' checksums, is seen from the classes."""
         return self.texts().where("t1 = e1 and t2 = e2").select("t1", "t2", "e1", "e2")
 
+    def matches(self) -> tuple[DataFrame, DataFrame]:
+        """Matching classes by text and by vector, as tables; the copy of the records is dropped."""
+        found = Stored(self.same_texts(), "by_text").df, Stored(self.vectors(), "by_vec").df
+        self._stored.drop()
+        return found
+
     def _side(self, kind: str, train: bool) -> DataFrame:
         side = "t" if train else "e"
         own = self.members.where(F.col("train") == train).where(f"{kind}1 is not null")
@@ -263,13 +271,14 @@ class Overlaps:
             mine = join_unique(self._side(kind, True).select("train_id", F.struct("t1", "t2").alias("class")), lists, "class")
             return mine.select("train_id", F.explode("to").alias("e")).select("train_id", "e.e1", "e.e2").join(self._side(kind, False), ["e1", "e2"]).select("train_id", "eval_id")
 
-        return expand(self.same_texts(), "x").unionByName(expand(self.vectors(), "v")).distinct()
+        text, vec = self.matches()
+        return expand(text, "x").unionByName(expand(vec, "v")).distinct()
 
     def counts(self) -> DataFrame:
         """``eval_id, n``: how many training records each evaluation record overlaps, from the sizes of classes: those
         of its text, and those of its vector, less those of both. No pair of records is built. Records of one id that
         differ count each for themselves."""
-        text, vec = Stored(self.same_texts(), "by_text").df, Stored(self.vectors(), "by_vec").df
+        text, vec = self.matches()
         both = ["x1", "x2", "v1", "v2"]
         trained = self.members.where("train").groupBy(*both).agg(F.count(F.lit(1)).alias("n"))
         held = self.members.where("not train")
@@ -307,30 +316,31 @@ def _is_train(c: Column) -> Column:
     return F.when(c == "train", F.lit(True)).when(c.isin("val", "test"), F.lit(False))
 
 
-def _overlaps(spark: SparkSession, d: str) -> Overlaps:
-    who = function_splits(spark, d).select("id", "name", _is_train(F.col("split_name")).alias("train")).where("train is not null").distinct()
+def _overlaps(spark: SparkSession, d: str) -> tuple[Overlaps, DataFrame]:
+    """Overlaps, and ``id, name, repo, split_name, train`` of the functions in them."""
+    who = Stored(function_splits(spark, d).withColumn("train", _is_train(F.col("split_name"))).where("train is not null").distinct(), "functions").df
     targets = spark.read.parquet(f"{d}/function_student_targets.parquet")
-    rows = targets.select(F.col("function_id").alias("id"), F.col("body_text").alias("body"), F.col("body_embedding").alias("vec")).join(who, "id")
-    return Overlaps(rows)
+    rows = targets.select(F.col("function_id").alias("id"), F.col("body_text").alias("body"), F.col("body_embedding").alias("vec")).join(who.select("id", "name", "train").distinct(), "id")
+    return Overlaps(rows), who
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    m = _overlaps(spark, d).pairs()
+    m = _overlaps(spark, d)[0].pairs()
     return m.select(F.least("train_id", "eval_id").alias("function_id_a"), F.greatest("train_id", "eval_id").alias("function_id_b"))
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps of each evaluation split and source repository: ``split_name, repo, n_functions, n_pairs``."""
-    who = function_splits(spark, d).select(F.col("id").alias("eval_id"), "repo", "split_name").distinct()
-    m = _overlaps(spark, d).counts()
-    return m.join(who, "eval_id").groupBy("split_name", "repo").agg(F.count(F.lit(1)).alias("n_functions"), F.sum("n").alias("n_pairs"))
+    overlaps, who = _overlaps(spark, d)
+    m = overlaps.counts()
+    return m.join(who.select(F.col("id").alias("eval_id"), "repo", "split_name").distinct(), "eval_id").groupBy("split_name", "repo").agg(F.count(F.lit(1)).alias("n_functions"), F.sum("n").alias("n_pairs"))
 
 
 def p3_near(spark: SparkSession, d: str) -> DataFrame:
     """Texts of training and evaluation that share 0.8 of the longer one's tokens in runs of nine or more, with what
     they share: ``train_id, eval_id, n_spans, n_matched, n_tokens``. Equal texts are one class and stand for each other:
     the ids are the smallest of their classes."""
-    o = _overlaps(spark, d)
+    o, _ = _overlaps(spark, d)
     first = lambda train, side: o._side("x", train).groupBy(f"{side}1", f"{side}2").agg(F.min("train_id" if train else "eval_id").alias("train_id" if train else "eval_id"))
     m = o.texts(0.8).join(first(True, "t"), ["t1", "t2"]).join(first(False, "e"), ["e1", "e2"])
     return m.select("train_id", "eval_id", "n_spans", "n_matched", F.greatest("n_train", "n_eval").alias("n_tokens"))
