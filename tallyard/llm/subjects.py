@@ -1,9 +1,10 @@
 """Subject areas of documents (problem 9).
 
-A document's words, their subwords and joined neighbours have embeddings, which are averaged and go into one logistic
-output for each subject, independent of the others. The model is trained by full-batch steps whose gradients are summed
-over the partitions. Every document is then scored segment by segment: a subject counts if enough segments, and a
-large enough part of them, speak for it. How much is enough is set on labelled documents held out of the training.
+A segment (sentence or line) is the average of the embeddings of its words, their subwords and joined neighbours, and
+goes into one logistic output for each subject, independent of the others. What the segments say for a subject, in all
+and as a part of the document, gives the document's probability. Embeddings and outputs are trained through that
+probability, by full-batch steps whose gradients are summed in the executors, and every document is scored by the very
+same function. From what probability on a subject counts is set on labelled documents that took no part in the training.
 """
 
 from __future__ import annotations
@@ -53,17 +54,50 @@ def segment_features(w: list[str]) -> list[str]:
     return [f for x in dict.fromkeys(w) for f in word_features(x)] + [a + b for a, b in dict.fromkeys(zip(w, w[1:]))]
 
 
+#: A segment's average is scaled by SCALE, and counts at least LEAST words, so that a lone word doesn't decide alone.
+SCALE, LEAST = 16.0, 4
+#: A subject is certain once some two segments and a fifth of all speak for it; GAIN turns that into a probability.
+ENOUGH, PART, GAIN = 2.0, 0.2, 0.7
+
+
+def segment_scale(words: np.ndarray) -> np.ndarray:
+    return (SCALE / np.maximum(words, LEAST)).astype(np.float32)
+
+
+def certainty(count: np.ndarray, n_segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Harmonic mean of how far the segments that speak for a subject are enough by number and as a part, and what a
+    change of the number changes in it."""
+    a, b = np.maximum(count / ENOUGH, 1e-6), np.maximum(count / (PART * n_segments[:, None]), 1e-6)
+    m = 2 * a * b / (a + b)
+    slope = 2 * (b * b / ENOUGH + a * a / (PART * n_segments[:, None])) / (a + b) ** 2
+    return m, slope, 1 - np.exp(-GAIN * m)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def per_document(values: np.ndarray, n_segments: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each document; zeros for one without segments."""
+    out = np.zeros((len(n_segments), values.shape[1]), values.dtype)
+    full = np.flatnonzero(n_segments)
+    if full.size:
+        out[full] = np.add.reduceat(values, np.concatenate([[0], np.cumsum(n_segments)])[full])
+    return out
+
+
 class Model:
-    """Evidence for each subject of each feature, with the limits that were set on held-out documents."""
+    """``evidence``: what each feature adds to a segment's outputs (its embedding times the outputs' weights), and the
+    outputs' ``offsets``; ``limit``: the probability from which on a subject counts."""
 
-    def __init__(self, subjects: list[str], features: list[str], evidence: np.ndarray, limits: tuple[float, int, float, float]):
-        self.subjects, self.features, self.evidence, self.limits = subjects, features, evidence, limits
+    def __init__(self, subjects: list[str], features: list[str], evidence: np.ndarray, offsets: np.ndarray, limit: float):
+        self.subjects, self.features, self.evidence, self.offsets, self.limit = subjects, features, evidence, offsets, limit
         self._number = {f: i for i, f in enumerate(features)}
         self._rows: list[np.ndarray] = []  # evidence of words and pairs that have any
         self._of: dict[str, int] = {}
 
     def __reduce__(self):
-        return Model, (self.subjects, self.features, self.evidence, self.limits)
+        return Model, (self.subjects, self.features, self.evidence, self.offsets, self.limit)
 
     def _row(self, w: str) -> int:
         e = [i for f in word_features(w) if (i := self._number.get(f)) is not None]
@@ -72,17 +106,18 @@ class Model:
         self._of[w] = at = len(self._rows) - 1 if e else -1
         return at
 
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Evidence of each segment for each subject, and how many segments each text has."""
+    def outputs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Logistic outputs of each segment for each subject, and how many segments each text has."""
         if len(self._of) > 200_000:
             self._of.clear()
             self._rows.clear()
         of, number, pair_base = self._of, self._number, 1 << 30
-        seg, at, per_text, n = [], [], [], 0
+        seg, at, size, per_text, n = [], [], [], [], 0
         for t in texts:
             own = segments(t)
             per_text.append(len(own))
             for w in own:
+                size.append(len(w))
                 for x in set(w):
                     i = of.get(x)
                     if i is None:
@@ -106,51 +141,43 @@ class Model:
                 v[~pair] = np.array(self._rows)[a[~pair]]
             used, first = np.unique(s, return_index=True)
             out[used] = np.add.reduceat(v, first)
+        if n:
+            out = sigmoid(out * segment_scale(np.array(size))[:, None] + self.offsets)
         return out, np.array(per_text, np.int64)
 
-    @staticmethod
-    def counts(scores: np.ndarray, per_text: np.ndarray, threshold: float) -> np.ndarray:
-        """How many segments of each text speak for each subject: above the threshold and not far below the segment's
-        strongest."""
-        out = np.zeros((len(per_text), scores.shape[1]), np.int64)
-        full = np.flatnonzero(per_text)
-        if full.size:
-            speaks = (scores > threshold) & (scores >= 0.5 * scores.max(1, keepdims=True))
-            out[full] = np.add.reduceat(speaks.astype(np.int64), np.concatenate([[0], np.cumsum(per_text)])[full])
-        return out
-
-    @staticmethod
-    def enough(n: np.ndarray, per_text: np.ndarray, least: int, share: float, alone: float) -> np.ndarray:
-        part = n / np.maximum(1, per_text)[:, None]
-        return ((n >= least) & (part >= share)) | ((n > 0) & (part >= alone))
+    def probabilities(self, texts: list[str | None]) -> np.ndarray:
+        """Texts by subjects; 0 for a text without words."""
+        out, n = self.outputs(texts)
+        return np.where((n > 0)[:, None], certainty(per_document(out, n), np.maximum(1, n))[2], 0)
 
     def decide(self, texts: list[str | None]) -> np.ndarray:
         """Texts by subjects: whether a text is about a subject."""
-        threshold, *rest = self.limits
-        s, per_text = self.scores(texts)
-        return self.enough(self.counts(s, per_text, threshold), per_text, *rest)
+        return self.probabilities(texts) >= self.limit
 
 
-#: Limits that are tried, the usual ones first: evidence of a segment, segments, their part, a part that is enough.
-_LIMITS = [(t, c, s, a) for t in (2.0, 3.0, 1.5, 1.0, 4.0, 6.0) for c in (2, 3) for s in (0.1, 0.12, 0.08, 0.15) for a in (0.5, 0.4, 0.3)]
+#: Limits that are tried, the usual one first.
+_LIMITS = [0.4, 0.42, 0.38, 0.45, 0.35, 0.5, 0.3, 0.55]
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, areas: DataFrame, subjects: list[str], max_labelled: int) -> DataFrame:
-    """``text, y array<double>, held boolean``: the labelled sample, bounded by ``max_labelled`` documents, and the
-    descriptions of the subjects. A fifth of the documents is held out by hash."""
+    """``text, y array<double>, use int``: the labelled sample, bounded by ``max_labelled`` documents, and the
+    descriptions of the subjects. By hash, a tenth of the documents sets the limit (use 1), another tells how good the
+    model is (use 2), and the rest is trained on (use 0)."""
     marks = F.array(*[F.max(F.when(F.col("subject") == s, 1.0).otherwise(0.0)) for s in subjects])
     y = labels.where("doc_id is not null").groupBy("doc_id").agg(marks.alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id")  # at most max_labelled rows
-    own = own.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).alias("held"))
+    ten = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10))
+    own = own.select("text", "y", F.when(ten == 0, 1).when(ten == 1, 2).otherwise(0).alias("use"))
     told = areas.select(
-        F.concat_ws(" ", F.col("subject"), F.col("description")).alias("text"), F.array(*[F.when(F.col("subject") == s, 1.0).otherwise(0.0) for s in subjects]).alias("y"), F.lit(False).alias("held")
+        F.concat_ws(" ", F.col("subject"), F.col("description")).alias("text"), F.array(*[F.when(F.col("subject") == s, 1.0).otherwise(0.0) for s in subjects]).alias("y"), F.lit(0).alias("use")
     )
     return own.unionByName(told).where("text is not null")
 
 
-def choose_features(sample: DataFrame, n_subjects: int, max_features: int, least_docs: int) -> list[str]:
-    """Features that go with a subject far more often than by chance, at most ``max_features``."""
+def choose_features(sample: DataFrame, n_subjects: int) -> list[str]:
+    """Features that go with a subject far more often than by chance: three deviations, which no feature of fewer than
+    three documents has. How many there are is bounded by the labelled sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -176,73 +203,86 @@ def choose_features(sample: DataFrame, n_subjects: int, max_features: int, least
         return []
     z = F.greatest(*[(F.col(f"y{i}") - F.col("n") * float(p)) / F.sqrt(F.col("n") * float(p * (1 - p)) + 0.5) for i, p in enumerate(prior)], F.lit(-1.0))
     top = F.greatest(*[F.col(f"y{i}") for i in range(n_subjects)], F.lit(0.0))
-    good = sums.where((F.col("n") >= least_docs) & (top > F.col("n") * 0.3)).withColumn("z", z).where("z > 3")
-    return [r[0] for r in good.orderBy(F.desc("z"), "feature").limit(max_features).select("feature").collect()]
-
-
-def train(sample: DataFrame, subjects: list[str], features: list[str], dim: int = 16, rounds: int = 25, rate: float = 0.05, decay: float = 5e-3, parts: int = 6, seed: int = 3):
+    return sorted(r[0] for r in sums.where(top > F.col("n") * 0.3).withColumn("z", z).where("z > 3").select("feature").collect())
+
+
+def gradient(e: np.ndarray, w: np.ndarray, c: np.ndarray, idx: np.ndarray, n_features: np.ndarray, words: np.ndarray, n_segments: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the documents' summed cross entropy. ``idx``: features, one segment after another; ``n_features`` and
+    ``words``: of each segment; ``n_segments``: of each document."""
+    scale = segment_scale(words)[:, None]
+    full = np.flatnonzero(n_features)
+    h = np.zeros((len(words), e.shape[1]), np.float32)
+    if full.size:
+        h[full] = np.add.reduceat(e[idx], (np.cumsum(n_features) - n_features)[full])
+    h *= scale
+    s = sigmoid(h @ w + c)
+    m, slope, q = certainty(per_document(s, n_segments), np.maximum(1, n_segments))
+    q = np.clip(q, 1e-5, 1 - 1e-5)
+    d = (q - y) / (q * (1 - q)) * GAIN * np.exp(-GAIN * m) * slope
+    d = (np.repeat(d, n_segments, axis=0) * s * (1 - s)).astype(np.float32)
+    g = np.zeros_like(e)
+    if full.size:
+        back, by = d @ w.T * scale, np.argsort(idx, kind="stable")
+        used, first = np.unique(idx[by], return_index=True)
+        g[used] = np.add.reduceat(back[np.repeat(np.arange(len(words)), n_features)[by]], first)
+    return [g, h.T @ d, d.sum(0)]
+
+
+def train(sample: DataFrame, subjects: list[str], features: list[str], dim: int = 16, rounds: int = 25, rate: float = 0.05, decay: float = 5e-3, part_docs: int = 4000, block: int = 65_536, seed: int = 3):
     """Embeddings (features x dim), weights (dim x subjects) and offsets, after ``rounds`` synchronous steps.
 
-    A document's vector is the sum of its features' embeddings over the root of its length: an average that keeps some
-    of the length, because two sentences on a subject are a case in a long document too. Few rounds are meant: more
-    would fit the wrong labels.
+    A step is a gradient in each partition of ``part_docs`` documents, summed block by block in the executors; the
+    driver gets the sum only. Few rounds are meant: more would fit the wrong labels.
     """
     spark, k = sample.sparkSession, len(subjects)
     number = spark.sparkContext.broadcast({f: i for i, f in enumerate(features)})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            idx, val = [], []
+            idx, n, words = [], [], []
             for t in b.column(0).to_pylist():
-                seg, n = segments(t), {}
-                for w in seg:
-                    for f in segment_features(w):
-                        if (j := number.value.get(f)) is not None:
-                            n[j] = n.get(j, 0) + 1
-                long = max(1, sum(map(len, seg)))
-                idx.append(list(n))
-                val.append([4 * c / long**0.5 for c in n.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32())), b.column(1)], names=["idx", "val", "y"])
-
-    stored = Stored(sample.select("text", "y").repartition(parts).mapInArrow(rows, "idx array<int>, val array<float>, y array<double>"), "labelled")
+                seg = segments(t)
+                own = [[j for f in segment_features(w) if (j := number.value.get(f)) is not None] for w in seg]
+                idx.append([j for x in own for j in x])
+                n.append([len(x) for x in own])
+                words.append([len(w) for w in seg])
+            ints = [pa.array(x, pa.list_(pa.int32())) for x in (idx, n, words)]
+            yield pa.RecordBatch.from_arrays([*ints, b.column(1)], names=["idx", "n", "words", "y"])
+
+    parts = max(1, -(-sample.count() // part_docs))
+    stored = Stored(sample.select("text", "y").repartition(parts).mapInArrow(rows, "idx array<int>, n array<int>, words array<int>, y array<double>"), "labelled")
     table, n_docs = stored.df, max(1, stored.df.count())
     rng = np.random.default_rng(seed)
     p = [rng.standard_normal((len(features), dim)) * 0.05, rng.standard_normal((dim, k)) * 0.3, np.full(k, -2.0)]
     m, u = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.float32) for x in group.column("g").to_pylist()], axis=0)
+        return pa.table([group.column("at").slice(0, 1), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["at", "g"])
+
     for step in range(1, rounds + 1):
         now = spark.sparkContext.broadcast([x.astype(np.float32) for x in p])
 
-        def gradient(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            e, w, c = now.value
-            g = [np.zeros_like(e), np.zeros_like(w), np.zeros_like(c)]
+        def own(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(sum(x.size for x in now.value), np.float32)
             for b in batches:
-                n = b.num_rows
-                if not n:
-                    continue
-                lens = np.diff(b.column(0).offsets.to_numpy())
-                f, x = b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
-                r = np.repeat(np.arange(n), lens)
-                y = b.column(2).flatten().to_numpy().reshape(n, -1)
-                h = np.zeros((n, e.shape[1]), np.float32)
-                full = np.flatnonzero(lens)
-                if full.size:
-                    h[full] = np.add.reduceat(x[:, None] * e[f], np.concatenate([[0], np.cumsum(lens)])[full])
-                d = (1 / (1 + np.exp(-np.clip(h @ w + c, -30, 30))) - y).astype(np.float32)
-                g[1] += h.T @ d
-                g[2] += d.sum(0)
-                if full.size:
-                    back, by = d @ w.T, np.argsort(f, kind="stable")
-                    used, first = np.unique(f[by], return_index=True)
-                    g[0][used] += np.add.reduceat(x[by, None] * back[r[by]], first)
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in g], names=["e", "w", "c"])
-
-        total = [np.zeros_like(x) for x in p]
-        for r in table.mapInArrow(gradient, "e binary, w binary, c binary").toLocalIterator():
-            for t, raw in zip(total, r):
-                t += np.frombuffer(raw, np.float32).reshape(t.shape)
+                if b.num_rows:
+                    flat = [b.column(i).flatten().to_numpy() for i in range(4)]
+                    g = gradient(*now.value, *flat[:3], np.diff(b.column(1).offsets.to_numpy()), flat[3].reshape(b.num_rows, -1))
+                    total += np.concatenate([x.ravel() for x in g])
+            at = list(range(0, len(total), block))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i : i + block].tobytes() for i in at], pa.binary())], names=["at", "g"])
+
+        sums = table.mapInArrow(own, "at int, g binary")
+        if parts > 1:
+            sums = sums.repartition(parts, "at").groupBy("at").applyInArrow(add, "at int, g binary")
+        total = np.zeros(sum(x.size for x in p), np.float32)
+        for at, raw in sums.collect():
+            g = np.frombuffer(raw, np.float32)
+            total[at : at + len(g)] += g
         now.destroy()
-        for i, (x, t) in enumerate(zip(p, total)):
-            g = t / n_docs + (decay / 10 if i == 0 else decay if i == 1 else 0) * x
+        for i, (x, t) in enumerate(zip(p, np.split(total, np.cumsum([x.size for x in p])[:-1]))):
+            g = t.reshape(x.shape) / n_docs + (decay / 10 if i == 0 else decay if i == 1 else 0) * x
             m[i] = 0.9 * m[i] + 0.1 * g
             u[i] = 0.999 * u[i] + 0.001 * g * g
             x -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(u[i] / (1 - 0.999**step)) + 1e-8)
@@ -250,40 +290,41 @@ def train(sample: DataFrame, subjects: list[str], features: list[str], dim: int
     return p
 
 
-def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, max_labelled: int = 20_000, max_features: int = 30_000, least_docs: int | None = None, **options) -> tuple[Model, float]:
-    """The model and its F1 on the held-out fifth of the labelled documents.
-
-    ``least_docs``: labelled documents a feature must occur in; if not given, 3 where over 2,000 are trained on, else 2.
-    """
+def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, max_labelled: int = 20_000, **options) -> tuple[Model, float]:
+    """The model and its F1 on a tenth of the labelled documents that neither the training nor the limit has seen.
+    ``max_labelled`` bounds the labelled documents used; ``options`` are those of ``train``."""
     subjects = sorted(r[0] for r in areas.select("subject").where("subject is not null").distinct().collect())
     both = Stored(labelled_documents(docs, labels, areas, subjects, max_labelled), "sample")
-    sample, held = both.df.where("not held"), both.df.where("held")
-    n = sample.count()
-    features = choose_features(sample, len(subjects), max_features, least_docs=least_docs or (3 if n > 2000 else 2)) if subjects else []
+    sample = both.df.where("use = 0")
+    features = choose_features(sample, len(subjects)) if subjects else []
     if not features:
-        return Model(subjects, [], np.zeros((0, len(subjects)), np.float32), _LIMITS[0]), 0.0
-    e, w, _ = train(sample, subjects, features, **options)
-    evidence = (e @ w).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(Model(subjects, features, evidence, _LIMITS[0]))
+        both.drop()
+        return Model(subjects, [], np.zeros((0, len(subjects)), np.float32), np.full(len(subjects), -30.0), _LIMITS[0]), 0.0
+    e, w, c = train(sample, subjects, features, **options)
+    model = Model(subjects, features, (e @ w).astype(np.float32), c.astype(np.float32), _LIMITS[0])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, out = shared.value, np.zeros((len(_LIMITS), 3), np.int64)
+        model, out = shared.value, np.zeros((2, len(_LIMITS), 3), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
-            s, per_text = model.scores(b.column(0).to_pylist())
+            q = model.probabilities(b.column(0).to_pylist())
             y = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) > 0
-            by = {x: model.counts(s, per_text, x) for x in {x[0] for x in _LIMITS}}
-            for i, (threshold, *rest) in enumerate(_LIMITS):
-                got = model.enough(by[threshold], per_text, *rest)
-                out[i] += (got & y).sum(), got.sum(), y.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(_LIMITS), dtype=np.int32)), *[pa.array(c) for c in out.T]], names=["i", "hit", "got", "want"])
-
-    sums = held.select("text", "y").mapInArrow(judge, "i int, hit bigint, got bigint, want bigint").groupBy("i").agg(F.sum("hit"), F.sum("got"), F.sum("want")).collect()
+            for use in (1, 2):
+                own = b.column(2).to_numpy() == use
+                for i, limit in enumerate(_LIMITS):
+                    got = q[own] >= limit
+                    out[use - 1, i] += (got & y[own]).sum(), got.sum(), y[own].sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.shape[0] * out.shape[1], dtype=np.int32)), *[pa.array(x) for x in out.reshape(-1, 3).T]], names=["i", "hit", "got", "want"])
+
+    held = both.df.where("use > 0").select("text", "y", "use")
+    sums = held.mapInArrow(judge, "i int, hit bigint, got bigint, want bigint").groupBy("i").agg(F.sum("hit"), F.sum("got"), F.sum("want")).collect()
     f1 = {r[0]: 2 * r[1] / max(1, r[2] + r[3]) for r in sums}
     best = max(range(len(_LIMITS)), key=lambda i: (round(f1.get(i, 0), 3), -i))
     both.drop()
-    return Model(subjects, features, evidence, _LIMITS[best]), f1.get(best, 0.0)
+    model.limit = _LIMITS[best]
+    return model, f1.get(len(_LIMITS) + best, 0.0)
 
 
 def assign(docs: DataFrame, model: Model) -> DataFrame:

@@ -392,6 +392,31 @@ def test_subjects(spark):
     assert subjects.assign(docs.limit(0), none).count() == 0
 
 
+def test_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(2)
+    n_segments, n_features = np.array([3, 0, 2]), np.array([2, 0, 3, 1, 4])
+    idx, words = rng.integers(0, 7, n_features.sum()), rng.integers(1, 9, 5)
+    y = rng.integers(0, 2, (3, 2)).astype(float)
+    p = [rng.standard_normal(x).astype(np.float64) for x in ((7, 3), (3, 2), (2,))]
+
+    def loss():
+        h = np.array([p[0][idx[lo : lo + n]].sum(0) for lo, n in zip(np.cumsum(n_features) - n_features, n_features)]) * subjects.segment_scale(words)[:, None] / 16
+        q = subjects.certainty(subjects.per_document(subjects.sigmoid(16 * h @ p[1] + p[2]), n_segments), np.maximum(1, n_segments))[2]
+        q = np.clip(q, 1e-5, 1 - 1e-5)
+        return -(y * np.log(q) + (1 - y) * np.log(1 - q)).sum()
+
+    got = subjects.gradient(*p, idx, n_features, words, n_segments, y)
+    for x, g in zip(p, got):
+        for at in np.ndindex(x.shape):
+            kept = x[at]
+            x[at] = kept + 1e-5
+            up = loss()
+            x[at] = kept - 1e-5
+            slope = (up - loss()) / 2e-5
+            x[at] = kept
+            assert g[at] == pytest.approx(slope, rel=2e-2, abs=2e-3)
+
+
 # ------------------------------------------------------------------- registry
 
 
