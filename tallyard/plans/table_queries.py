@@ -33,12 +33,7 @@ def newest_known(prs: DataFrame, known: DataFrame, pool: int = 12_000) -> DataFr
 
 
 def semi_pool_topn(spark: SparkSession, d: str) -> DataFrame:
-    """A6, D-6, C2, C4, G2: a sample, the 100 newest pull requests of a size, of which a function is known."""
-    return newest_known(_t(spark, d, "prs_copy"), _t(spark, d, "function_static_props"), 100)
-
-
-def semi_pool_full(spark: SparkSession, d: str) -> DataFrame:
-    """A6, D-6, C2, C4, G2: the same with the reference's pool."""
+    """A6, D-6, C2, C4, G2: the pool of the newest pull requests of a size, of which a function is known."""
     return newest_known(_t(spark, d, "prs_copy"), _t(spark, d, "function_static_props"))
 
 
@@ -182,15 +177,14 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        anti_resume, semi_pool_topn, semi_pool_full, first_row_join, distinct_on_deterministic, static_left_enrich, three_way_counts, key_sets, status_summary, stage_deltas, early_stop_trace, percentiles,
+        anti_resume, semi_pool_topn, first_row_join, distinct_on_deterministic, static_left_enrich, three_way_counts, key_sets, status_summary, stage_deltas, early_stop_trace, percentiles,
         fold_statistics, expressions, marker_sessions, lookup_in_order, upsert_last_wins, insert_ignore, get_or_create_id, update_columns, event_windows,
     )
 }
 
 SQL = {
     "anti_resume": "SELECT DISTINCT id, model_name FROM function_embeddings WHERE id NOT IN (SELECT function_id FROM function_student_targets)",
-    "semi_pool_topn": """SELECT id, instance_id FROM (SELECT DISTINCT id, instance_id, created_at FROM prs_copy WHERE changed_files BETWEEN 2 AND 40 AND instance_id IN (SELECT instance_id FROM function_static_props)) ORDER BY created_at DESC NULLS FIRST, id LIMIT 100""",
-    "semi_pool_full": """SELECT id, instance_id FROM (SELECT DISTINCT id, instance_id, created_at FROM prs_copy WHERE changed_files BETWEEN 2 AND 40 AND instance_id IN (SELECT instance_id FROM function_static_props)) ORDER BY created_at DESC NULLS FIRST, id LIMIT 12000""",
+    "semi_pool_topn": """SELECT id, instance_id FROM (SELECT DISTINCT id, instance_id, created_at FROM prs_copy WHERE changed_files BETWEEN 2 AND 40 AND instance_id IN (SELECT instance_id FROM function_static_props)) ORDER BY created_at DESC NULLS FIRST, id LIMIT 12000""",
     "first_row_join": """SELECT p.instance_id, p.id, p.pull_number, n_functions FROM (SELECT DISTINCT instance_id, id, pull_number FROM prs_copy QUALIFY dense_rank() OVER (PARTITION BY instance_id ORDER BY id) = 1) p
         JOIN (SELECT instance_id, count(DISTINCT id) AS n_functions FROM function_static_props GROUP BY 1) f ON f.instance_id = p.instance_id""",
     "distinct_on_deterministic": "SELECT DISTINCT ON (feature_file, feature_function) feature_file, feature_function, id FROM function_embeddings ORDER BY feature_file, feature_function, layer_index, id",

@@ -70,11 +70,6 @@ def transitions(prs: DataFrame, files: tuple[int, int] = (1, 120), sizes: tuple[
 
 
 def pr_transition_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A sample, the 200 newest pull requests of narrower ranges; ``pr_transition_all`` has all."""
-    return transitions(spark.read.parquet(f"{d}/prs_copy.parquet"), (1, 60), (1, 3000), 200)
-
-
-def pr_transition_all(spark: SparkSession, d: str) -> DataFrame:
     """All pull requests that have patches, in the reference's ranges."""
     return transitions(spark.read.parquet(f"{d}/prs_copy.parquet").where("patch is not null and file_patches is not null"))
 
@@ -85,7 +80,7 @@ def size_parse(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "i int, printed string").select("i", text.human_size("printed").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (repo_slug_parse, module_and_base, diff_paths, name_quality, line_stats, json_props, refactor_mentions, pr_transition_rows, pr_transition_all, size_parse)}
+QUERIES = {f.__name__: f for f in (repo_slug_parse, module_and_base, diff_paths, name_quality, line_stats, json_props, refactor_mentions, pr_transition_rows, size_parse)}
 
 _JSON = lambda c: f"coalesce(TRY_CAST({c} AS JSON[]), [])"
 _REFACTOR = r"(?i)\b(refactor|restructure|split\s+this|extract\s+\w+|too\s+large|too\s+big|naming|cleanup|architecture|design)\b"
@@ -117,11 +112,7 @@ SQL = {
     "refactor_mentions": f"""WITH p AS (SELECT DISTINCT id, review_threads, comments FROM prs_copy),
         t AS (SELECT id, comments, list_transform(list_filter({_JSON("review_threads")}, lambda t: json_type(t) = 'OBJECT'), lambda t: {_HITS("(t ->> 'comments')")}) AS per FROM p)
         SELECT id, CAST(coalesce(list_sum(per), 0) + {_HITS("comments")} AS BIGINT) AS n_comments, CAST(len(list_filter(per, lambda x: x > 0)) AS BIGINT) AS n_threads FROM t""",
-    "pr_transition_rows": """SELECT id, instance_id, coalesce(nullif(trim(pr_author), ''), 'unknown') AS author, coalesce(pr_is_draft, false) AS is_draft,
-        coalesce(additions, 0) + coalesce(deletions, 0) AS size, CAST(coalesce(total_comments, 0) AS BIGINT) AS n_comments, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created
-        FROM (SELECT DISTINCT id, instance_id, pr_author, pr_is_draft, CAST(additions AS BIGINT) AS additions, CAST(deletions AS BIGINT) AS deletions, total_comments, created_at, changed_files FROM prs_copy)
-        WHERE changed_files BETWEEN 1 AND 60 AND coalesce(additions, 0) + coalesce(deletions, 0) BETWEEN 1 AND 3000 ORDER BY created_at DESC NULLS FIRST, id LIMIT 200""",
-    "pr_transition_all": """SELECT id, instance_id, author, is_draft, size, n_comments, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM (
+    "pr_transition_rows": """SELECT id, instance_id, author, is_draft, size, n_comments, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM (
         SELECT DISTINCT id, instance_id, coalesce(nullif(trim(pr_author), ''), 'unknown') AS author, coalesce(pr_is_draft, false) AS is_draft,
         CAST(coalesce(additions, 0) AS BIGINT) + CAST(coalesce(deletions, 0) AS BIGINT) AS size, CAST(coalesce(total_comments, 0) AS BIGINT) AS n_comments, created_at
         FROM prs_copy WHERE patch IS NOT NULL AND file_patches IS NOT NULL AND changed_files BETWEEN 1 AND 120 AND coalesce(additions, 0) + coalesce(deletions, 0) BETWEEN 5 AND 8000)""",

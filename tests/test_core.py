@@ -211,6 +211,9 @@ def test_code_texts():
     assert code.signature("def f(:\n    x = 1\n    y") == "def f(:\n    x = 1"
     assert code.stub('def f():\n    """One\n    two"""\n    return 1') == 'def f():\n    """One"""\n    ...'
     assert code.anonymous('def f():\n    "doc"\n    return 1') == "def func_ANON():\n    return 1"
+    assert code.anonymous('def f():\n    "doc"\n    # why\n    return 1') == "def func_ANON():\n    return 1" and code.anonymous('def f():\n    "doc"') == "def func_ANON():\n    pass"
+    assert code.anonymous("def f(:\n  def g") == "def func_ANON(:\n  def func_ANON" and code.stub("x = 1\ny") == "x = 1\n    ..."
+    assert code.split_source('def f(\n    a,\n):\r\n    """D"""\n\n    return a\n') == ('def f(\n    a,\n):\n    """D"""', "\n    return a")
     assert code.named_function("def a(): pass\nclass B:\n    def a(self): return 1", "a") == "def a(): pass"
     assert code.resolve("B.a", ["A.a", "C.B.a"]) == "C.B.a" and code.resolve("a", ["A.a"]) == "A.a" and code.resolve("a", ["A.a", "B.a"]) is None
 

@@ -17,14 +17,14 @@ def _pull_requests(spark, folder, n):
 
 def test_all_transitions(spark, tmp_path):
     _pull_requests(spark, tmp_path, 400)
-    got = [r["id"] for r in catalogue.queries()["pr_transition_all"](spark, str(tmp_path)).collect()]
+    got = [r["id"] for r in catalogue.queries()["pr_transition_rows"](spark, str(tmp_path)).collect()]
     assert got == list(range(399, 0, -1))
 
 
 def test_full_pool(spark, tmp_path):
     _pull_requests(spark, tmp_path, 400)
     spark.range(0, 12_400).select(F.concat(F.lit("a__b__"), F.col("id") % 300).alias("instance_id")).write.parquet(f"{tmp_path}/function_static_props.parquet")
-    got = [r["id"] for r in catalogue.queries()["semi_pool_full"](spark, str(tmp_path)).collect()]
+    got = [r["id"] for r in catalogue.queries()["semi_pool_topn"](spark, str(tmp_path)).collect()]
     assert got == list(range(299, -1, -1))
 
 
@@ -41,5 +41,5 @@ def test_full_draws_and_target(spark, tmp_path):
         F.lit(1).alias("loc"), F.lit(1).alias("n_branches"), F.lit(True).alias("has_docstring"),
     ).write.parquet(f"{tmp_path}/function_static_props.parquet")
     spark.range(900).select(n.alias("doc_id"), F.lit("r").alias("repo")).write.parquet(f"{tmp_path}/documents.parquet")
-    assert catalogue.queries()["pair_construct_full"](spark, str(tmp_path)).count() == 300
-    assert catalogue.queries()["stratified_cap_full"](spark, str(tmp_path)).count() == 900
+    assert catalogue.queries()["pair_construct"](spark, str(tmp_path)).count() == 300
+    assert catalogue.queries()["stratified_cap"](spark, str(tmp_path)).count() == 900
