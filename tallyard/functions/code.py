@@ -282,6 +282,11 @@ def split_column(source: Column | str) -> Column:
     return split(source)
 
 
+def dedent(source: str) -> str:
+    """A text without the indentation that all its lines have in common."""
+    return textwrap.dedent(source)
+
+
 def text_column(source: Column | str, make: Callable[[str], str | None]) -> Column:
     """``make`` of each source that is there: ``signature``, ``stub``, ``anonymous``."""
 

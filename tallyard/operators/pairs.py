@@ -28,6 +28,13 @@ def hard_negatives(pairs: DataFrame, corpus: DataFrame, key: str, least: float,
     return hit.select("query_id", "neighbour_id", F.col("judge.score_c").alias("score")).distinct()
 
 
+def nested(found: DataFrame, anchor: str, bucket: str, other: str) -> DataFrame:
+    """``id, buckets``: each anchor's others as a map from bucket to sorted ids."""
+    lists = found.groupBy(anchor, bucket).agg(F.array_sort(F.collect_set(other)).alias("ids"))
+    entry = F.struct(F.col(bucket).cast("string").alias("k"), F.col("ids").alias("v"))
+    return lists.groupBy(F.col(anchor).alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("buckets"))
+
+
 def with_sources(pairs: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
     """Both sides' text joined on, and ``skipped = no_source`` where one is missing (D-17)."""
     one = sources.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias("__t"))

@@ -1,4 +1,4 @@
-"""Splits, samples, folds and constructed pairs (K1 to K12). Order comes from md5 text, so it is stable everywhere."""
+"""Splits, samples, folds and constructed pairs. Order comes from md5 text, so it is stable everywhere."""
 
 from __future__ import annotations
 
@@ -55,6 +55,25 @@ def bounded_sample(df: DataFrame, group: str, key: str, per_group: int, total: i
     return first_per_group(df, [group], order, per_group).orderBy(*order).limit(total)
 
 
+def newest_shuffled(df: DataFrame, newest: list[Column], key: str, n: int, seed: int, over: int = 6) -> DataFrame:
+    """``n`` rows in hashed order out of the ``over`` times as many newest."""
+    return df.orderBy(*newest).limit(over * n).orderBy(shuffle_key(F.col(key), seed=seed), F.col(key)).limit(n)
+
+
+def round_robin(df: DataFrame, by: list[Column], n: int) -> DataFrame:
+    """Rows with a ``chunk``: dealt out one by one in a stated order, so chunks differ by one row at most."""
+    return global_position(df, by).withColumn("chunk", F.pmod("position", F.lit(n)).cast("int")).drop("position")
+
+
+def random_partners(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """``key, partner``: each key with the one behind it in hashed order, the last with the first (I10). One key alone has
+    itself for partner."""
+    placed = global_position(df.where(F.col(key).isNotNull()).select(key).distinct(), [shuffle_key(F.col(key), seed=seed), F.col(key)])
+    n = max(1, placed.count())
+    behind = placed.select(F.pmod(F.col("position") - 1, F.lit(n)).alias("position"), F.col(key).alias("partner"))
+    return placed.join(behind, "position").select(key, "partner")
+
+
 def group_folds(df: DataFrame, group: str, k: int, heavy: float = 0.001, buckets: int = 1024) -> DataFrame:
     """``group, n, fold`` with whole groups and folds of like size (K6).
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..scratch import with_package
-from . import model_queries, org_queries, rank_queries, skewed_repos, table_queries, text_queries, vector_queries
+from . import model_queries, org_queries, rank_queries, skewed_repos, storage_queries, table_queries, text_queries, vector_queries
 
-_MODULES = [vector_queries, text_queries, org_queries, rank_queries, table_queries, model_queries, skewed_repos]
+_MODULES = [vector_queries, text_queries, org_queries, rank_queries, table_queries, model_queries, skewed_repos, storage_queries]
 
 
 def queries() -> dict:

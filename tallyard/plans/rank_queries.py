@@ -63,7 +63,7 @@ def stratified_cap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bounded_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """K4, A8, G6, K11."""
+    """K4, G6, K11."""
     return sampling.bounded_sample(_props(spark, d).where("feature_function is not null"), "feature_function", "id", 2, 300, 7).select("feature_function", "id")
 
 

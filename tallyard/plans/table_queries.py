@@ -45,7 +45,7 @@ def first_row_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distinct_on_deterministic(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each key, the survivor chosen by a stated order."""
+    """One row for each key, the survivor chosen by a stated order."""
     f = _t(spark, d, "function_embeddings").select(*_ANCHOR, "id", "model_name", "layer_index").distinct()
     return first_per_group(f, ["feature_file", "feature_function"], [F.col("layer_index"), F.col("id")]).select("feature_file", "feature_function", "id")
 
@@ -110,7 +110,7 @@ def percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fold_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Mean and population deviation over groups of rows."""
+    """L1: mean and population deviation over groups of rows."""
     per = _t(spark, d, "function_static_props").groupBy("return_type_cat", "n_loops").agg(F.avg("loc").alias("m"))
     return per.groupBy("return_type_cat").agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_pop("m"), 6).alias("deviation"))
 
@@ -124,7 +124,7 @@ def expressions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def marker_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Files of each marked change in a text log."""
+    """Files of each marked change in a text log."""
     log = ["@@@a1\tx@y", "src/a.py", "", "src/b.py", "@@@b2\tz@y", "@@@c3\tx@y", "lib/c.py"]
     lines = spark.createDataFrame([("log", i, s) for i, s in enumerate(log)], "log string, n int, line string")
     return readers.marked_sessions(lines, "log", "n", "line").select("session", "hash", "author", "line")
@@ -137,7 +137,7 @@ def lookup_in_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics after a later delivery; each anchor's newest row stays."""
+    """B2: metrics after a later delivery; each anchor's newest row stays."""
     m = _t(spark, d, "followup_org_metrics").select("feature_instance_id", "feature_file", "feature_function", "created_at", "ownership_friction").distinct()
     late = F.col("created_at") >= F.lit("2025-08-01").cast("timestamp")
     keys = ["feature_instance_id", "feature_file", "feature_function"]

@@ -54,18 +54,15 @@ def centroid_center_norm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieval_rank_at_k(spark: SparkSession, d: str) -> DataFrame:
-    """The rank of a function's own body among all bodies, searched by its signature vector."""
+    """The rank of a function's own body among all bodies, searched by its signature vector."""
     t = spark.read.parquet(f"{d}/function_student_targets.parquet").select("function_id", vectors.as_double("sig_embedding").alias("sig"), vectors.as_double("body_embedding").alias("body"))
     ok = t.where((F.size("sig") == 64) & (F.size("body") == 64) & vectors.finite(F.col("sig")) & vectors.finite(F.col("body"))).dropDuplicates(["function_id"])
-    near = vectors.exact_knn(ok.select("function_id", F.col("body").alias("v")), "function_id", "v", 10, ok.select((-F.col("function_id") - 1).alias("function_id"), F.col("sig").alias("v")))
-    hit = near.where(F.col("neighbour") == -F.col("query") - 1).select("rank")
-    n = ok.agg(F.count(F.lit(1)).alias("n"))
-    cols = [F.coalesce(F.sum((F.col("rank") <= k).cast("int")), F.lit(0)).cast("bigint").alias(f"n_at_{k}") for k in (1, 5, 10)]
-    return hit.agg(*cols).crossJoin(n)
+    r = vectors.true_ranks(ok.select("function_id", F.col("sig").alias("v")), ok.select("function_id", F.col("body").alias("v")), "function_id", "v")
+    return r.agg(*[F.count_if(F.col("rank") <= k).alias(f"n_at_{k}") for k in (1, 5, 10)], F.count(F.lit(1)).alias("n"))
 
 
 def infonce_value(spark: SparkSession, d: str) -> DataFrame:
-    """Contrastive loss of each label's mean against all vectors of that label and of the others."""
+    """Contrastive loss of each label's mean against all vectors of that label and of the others."""
     e = _emb(spark, d).select("vec_id", "label", vectors.normalise(vectors.as_double("embedding")).alias("v"))
     m = vectors.mean_vector(e, ["label"], "v").select(F.col("label").alias("anchor"), vectors.normalise(F.col("mean")).alias("m"))
     s = e.crossJoin(F.broadcast(m)).select("vec_id", "label", "anchor", vectors.dot(F.col("v"), F.col("m")).alias("s"))  # one row for each label
@@ -108,18 +105,18 @@ def pair_band_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
-    """C8, D-6, D-19, H1."""
+    """C8, D-6, H1."""
     return pairs.hard_negatives(_pairs(spark, d), spark.read.parquet(f"{d}/function_embeddings.parquet"), "id", 0.5, 1)
 
 
 def hard_negative_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """E21, E22, E23, D-19: negatives of each anchor, counted up to 10."""
+    """Negatives of each anchor, counted up to 10."""
     per = hard_negatives(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy(F.least("n", F.lit(10)).alias("n_negatives")).agg(F.count(F.lit(1)).alias("n_anchors"))
 
 
 def pair_stage_counts(spark: SparkSession, d: str) -> DataFrame:
-    """All stage counters in one pass."""
+    """All stage counters in one pass."""
     p = _pairs(spark, d)
     ok = pairs.judged(F.col("judge"))
     return p.groupBy("query_model").agg(

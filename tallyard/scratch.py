@@ -79,6 +79,18 @@ class Stored:
         _LEFT.pop(self.path, None)
 
 
+def own_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, deleted at ``release``."""
+    path = f"{shared_dir(spark)}/files/{label}-{uuid.uuid4().hex}"
+    _remember(spark, path)
+    return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def put_file(spark: SparkSession, data: bytes, label: str) -> str:
     """Write bytes into the shared folder and register the file with the context, so that every executor, also a
     later one, fetches it. Returns the name for ``SparkFiles.get``."""

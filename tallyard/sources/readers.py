@@ -1,13 +1,16 @@
-"""Sources (A1 to A4, A9 to A13, A16, A18, A21, A22, A24): tables, text logs and listings as DataFrames. All are lazy; filters are column expressions."""
+"""Sources: tables, text logs, listings and outside stores as DataFrames. All are lazy; filters are column expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..scratch import path_exists
+
 
 def table(spark: SparkSession, place: str, where: list[Column] = (), columns: list[str] | None = None) -> DataFrame:
     """A Parquet table with optional filters and columns, which reach the scan (A1, A2)."""
@@ -33,6 +36,61 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
+def in_list(df: DataFrame, key: str, values: list) -> DataFrame:
+    """Rows whose key is in a list of the driver's (C3): a broadcast semi-join, so that a long list is no long expression.
+    An empty list keeps no row, and null is in no list."""
+    kind = df.schema[key].dataType.simpleString()
+    return df.join(F.broadcast(df.sparkSession.createDataFrame([(v,) for v in values if v is not None], f"{key} {kind}").distinct()), key, "left_semi")
+
+
+def first_matching(df: DataFrame, wanted: Column, by: list[Column], n: int | None = None) -> DataFrame:
+    """The first ``n`` rows that match, in a stated order (A5, A11); all that match without ``n``."""
+    rows = df.where(wanted)
+    return rows if n is None else rows.orderBy(*by).limit(n)
+
+
+def json_id_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``{"id": id, "buckets": {bucket: [ids]}}``, one object a line, as rows ``id, bucket, other`` (A12): the form of
+    ``json_id_map`` for maps that are too large for one document, read in as many tasks as there are splits."""
+    lines = json_lines(spark, path, "id bigint, buckets map<string, array<bigint>>")
+    return lines.select("id", F.explode("buckets").alias("bucket", "ids")).select("id", "bucket", F.explode("ids").alias("other"))
+
+
+def tree(groups: DataFrame, key: str, list_files: Callable[[str], list[str]], suffix: str = ".py") -> DataFrame:
+    """``key, path`` of the files with a suffix in each group's tree (A18). ``list_files`` is the seam to the repositories:
+    it gets a key and gives its paths; a group whose listing fails has no rows."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for k in p[key]:
+                try:
+                    rows += [(k, x) for x in list_files(k) if x.endswith(suffix)]
+                except Exception:  # noqa: BLE001  a missing repository is no failure of the others
+                    continue
+            yield pd.DataFrame(rows, columns=[key, "path"])
+
+    return groups.where(F.col(key).isNotNull()).select(key).distinct().mapInPandas(run, f"{key} string, path string")
+
+
+def blobs(files: DataFrame, key: str, commit: str, path: str, fetch: Callable[[str, str, str], bytes | None]) -> DataFrame:
+    """The rows with ``content``: each file's text at its commit (A17), undecodable bytes replaced. ``fetch`` is the seam
+    to the repositories; null where it gives None or fails."""
+
+    @F.pandas_udf("string")
+    def content(k: pd.Series, c: pd.Series, f: pd.Series) -> pd.Series:
+        def one(*asked: str) -> str | None:
+            try:
+                raw = fetch(*asked)
+            except Exception:  # noqa: BLE001
+                return None
+            return None if raw is None else raw.decode("utf-8", "replace")
+
+        return pd.Series([one(*x) for x in zip(k, c, f)], dtype=object)
+
+    return files.withColumn("content", content(key, commit, path))
+
+
 def json_id_map(spark: SparkSession, path: str) -> DataFrame:
     """``{id: {bucket: [ids]}}`` as rows ``id, bucket, other``."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, map<string, array<bigint>>>").alias("m"))
@@ -72,9 +130,9 @@ def or_example(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def cached_table(spark: SparkSession, place: str, make: Callable[[], DataFrame], fingerprint: str) -> DataFrame:
-    """A written table if it is there under the same fingerprint, else made and written."""
+    """A written table if it is there under the same fingerprint, else made and written (A13). Its rows are found by
+    key, not by place, so records and cache can't slip (D-20)."""
     path = f"{place.rstrip('/')}/{fingerprint}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not path_exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -1,4 +1,4 @@
-"""Sinks (B1 to B12, B14): keyed writes as table to table, and files."""
+"""Sinks: keyed writes as table to table, and files."""
 
 from __future__ import annotations
 
