@@ -1,19 +1,17 @@
-"""Linear heads, TF-IDF and their features."""
+"""TF-IDF and heads of Spark's own library, for sparse features; ``heads`` has those on a few columns."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import pair_draws
-
 
 def standardise(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None, out: str = "features") -> DataFrame:
     """Columns as one vector, each less its mean over its population deviation (L1), both of the rows ``fit_on``.
@@ -48,41 +46,39 @@ def score(model, df: DataFrame, out: str = "score") -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def ridge(train: DataFrame, target: str, features: str = "features", alpha: float = 1.0):
-    """Ridge regression with penalty ``alpha`` on the summed squares (L4): Spark scales the target by its deviation."""
-    s = train.agg(F.stddev_pop(target), F.count(F.lit(1))).first()
-    return LinearRegression(featuresCol=features, labelCol=target, regParam=alpha * (s[0] or 0.0) / max(1, s[1]), elasticNetParam=0.0, standardization=False, solver="normal").fit(train)
-
-
-def pairwise(train: DataFrame, group: str, label: str, key: str, features: str = "features", per_group: int = 300, seed: int = 42):
-    """A ranker on differences of a positive and a negative row of one group, in both signs (L12, K8); None if no group
-    has both, where the plain head stands in."""
-    draws = pair_draws(train, group, label, key, per_group, seed)
-    v = train.select(F.col(key), vector_to_array(features).alias("__v")).dropDuplicates([key])
-    side = lambda name: v.select(F.col(key).alias(name), F.col("__v").alias(f"__{name}"))
-    d = draws.join(side("pos"), "pos").join(side("neg"), "neg").select(F.zip_with("__pos", "__neg", lambda a, b: a - b).alias("d"))
-    both = d.select("d", F.lit(1).alias("y")).unionByName(d.select(F.transform("d", lambda x: -x).alias("d"), F.lit(0).alias("y")))
-    if both.isEmpty():
-        return None
-    from pyspark.ml.functions import array_to_vector
-
-    return logistic(both.select(array_to_vector("d").alias("features"), "y"), "y", balanced=False)
-
-
-def tf_idf(df: DataFrame, key: str, text: str, terms: int = 5000, out: str = "features") -> DataFrame:
-    """``key, <out>``: sparse TF-IDF vectors (L8): words of two letters or more in lower case, the most frequent
-    ``terms``, 1 + ln(count), idf ln((1 + n) / (1 + df)) + 1, length 1. A text without known words has no row."""
-    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))).alias("w"))
-    counts = words.groupBy(key, "w").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.groupBy("w").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("n"), "w").limit(terms)
-    n_docs = df.select(key).distinct().count()
-    # at most ``terms`` rows: numbered in one task and broadcast
-    numbered = top.select("w", (F.log((F.lit(1.0) + n_docs) / (1 + F.col("df"))) + 1).alias("idf"), (F.row_number().over(Window.orderBy(F.desc("n"), "w")) - 1).alias("i"))
-    x = counts.join(F.broadcast(numbered), "w").select(key, "i", ((1 + F.log("c")) * F.col("idf")).alias("x"))
-    rows = x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("e"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-
-    @F.udf(VectorUDT())
-    def sparse(e, norm):  # Arrow can't carry vectors
-        return SparseVector(terms, [r["i"] for r in e], [r["x"] / norm for r in e])
-
-    return rows.select(key, sparse("e", "norm").alias(out))
+class TfIdf:
+    """TF-IDF of one column (L8): words of two letters or more in lower case, the ``terms`` most frequent ones of the texts
+    that it is fitted on, 1 + ln(count), idf ln((1 + n) / (1 + df)) + 1, length 1.
+
+    Words and weights come from the fitted texts only; others are transformed with them. ``bias``: one more feature of
+    value 1, whose weight is a penalised intercept (L3).
+    """
+
+    def __init__(self, df: DataFrame, key: str, text: str, terms: int = 5000, bias: bool = False):
+        self.key, self.text, self.terms, self.bias = key, text, terms, bias
+        counts = self._counts(df)
+        top = counts.groupBy("w").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("n"), "w").limit(terms).collect()  # ``terms`` bounds it
+        n = df.select(key).distinct().count()
+        rows = [(r["w"], i, math.log((1 + n) / (1 + r["df"])) + 1) for i, r in enumerate(top)]
+        self.words = df.sparkSession.createDataFrame(rows, "w string, i int, idf double")
+
+    def _counts(self, df: DataFrame) -> DataFrame:
+        words = df.select(self.key, F.explode(F.regexp_extract_all(F.lower(F.col(self.text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))).alias("w"))
+        return words.groupBy(self.key, "w").agg(F.count(F.lit(1)).alias("c"))
+
+    def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
+        """``key, <out>``: sparse vectors; a text without known words has no row."""
+        x = self._counts(df).join(F.broadcast(self.words), "w").select(self.key, "i", ((1 + F.log("c")) * F.col("idf")).alias("x"))
+        rows = x.groupBy(self.key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("e"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+        size, bias = self.terms + self.bias, self.bias
+
+        def sparse(e, norm):
+            at, v = [r["i"] for r in e], [r["x"] / norm for r in e]
+            return SparseVector(size, at + [size - 1] * bias, v + [1.0] * bias)
+
+        return rows.select(self.key, F.udf(sparse, VectorUDT(), useArrow=True)("e", "norm").alias(out))
+
+
+def sparse_logistic(train: DataFrame, label: str, features: str = "features", c: float = 1.0):
+    """Logistic regression on sparse vectors whose last feature is the bias: no other intercept, so it is penalised (L3)."""
+    return LogisticRegression(featuresCol=features, labelCol=label, regParam=1 / (c * max(1, train.count())), elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=300, tol=1e-9).fit(train)

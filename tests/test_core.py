@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyard.functions import code, scores, text
 from tallyard.functions.repos import repo_name, repo_of_instance
-from tallyard.operators import labels, ml, org, ranking, sampling, vectors
+from tallyard.operators import heads, labels, ml, org, packs, ranking, sampling, seams, vectors
 from tallyard.operators.skew import join_unique, skewed_group_metrics
-from tallyard.sources import readers, sinks
+from tallyard.sources import readers, sinks, vector_store
 from tallyard.streaming import incremental
 
 
@@ -265,9 +265,9 @@ def test_heads_match_their_closed_forms(spark):
     df = spark.createDataFrame([(i, *map(float, r), int(a), float(b)) for i, (r, a, b) in enumerate(zip(x, y, t))], "id int, a double, b double, c double, y int, t double")
     z = ml.standardise(df, ["a", "b", "c"])
     s = (x - x.mean(0)) / x.std(0)
-    m = ml.ridge(z, "t", alpha=1.0)
+    m = heads.fit_ridge(df, ["a", "b", "c"], "t", alpha=1.0)
     want = np.linalg.solve(s.T @ s + np.eye(3), s.T @ (t - t.mean()))
-    assert np.allclose(m.coefficients.toArray(), want, atol=1e-6)
+    assert np.allclose(m.coef, want, atol=1e-9) and np.isclose(m.intercept, t.mean())
     w = np.where(y == 1, 200 / (2 * y.sum()), 200 / (2 * (200 - y.sum())))
     beta, b0 = np.zeros(3), 0.0
     for _ in range(50):
@@ -279,3 +279,145 @@ def test_heads_match_their_closed_forms(spark):
         beta, b0 = beta - step[:3], b0 - step[3]
     got = ml.logistic(z, "y")
     assert np.allclose(got.coefficients.toArray(), beta, atol=1e-3) and got.intercept == pytest.approx(b0, abs=1e-3)
+    own = heads.fit_logistic(df, ["a", "b", "c"], "y")
+    assert np.allclose(own.coef, beta, atol=1e-6) and own.intercept == pytest.approx(b0, abs=1e-6)
+    p = 1 / (1 + np.exp(-(s @ beta + b0)))
+    assert np.allclose([r.p for r in df.select("id", own.probability().alias("p")).orderBy("id").collect()], p, atol=1e-6)
+    tied = heads.fit_logistic(df, ["a", "b", "c"], "y", penalise_intercept=True)
+    w1 = np.append(tied.coef, tied.intercept)
+    q = 1 / (1 + np.exp(-(d @ w1)))
+    assert np.abs(d.T @ (w * (q - y)) + w1).max() < 1e-5
+    one = heads.fit_logistic(df.where("y = 1"), ["a"], "y")
+    assert one.intercept > 20 and heads.fit_logistic(df.limit(0), ["a"], "y").intercept < -20
+
+
+def test_head_is_written_and_read(spark, tmp_path):
+    head = heads.Head(["a", "b"], [0.5, 1.0], [2.0, 0.0], [1.5, 9.0], -0.25)
+    head.write(spark, f"file://{tmp_path}/head")
+    back = heads.Head.read(spark, f"file://{tmp_path}/head")
+    assert back == head
+    df = spark.createDataFrame([(2.5, 7.0), (None, None)], "a double, b double")
+    assert [r[0] for r in df.select(back.linear()).collect()] == [1.25, -0.25]
+    with pytest.raises(FileNotFoundError):
+        heads.Head.read(spark, f"file://{tmp_path}/none")
+
+
+def test_cross_validation(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((240, 2)) * [3, 0.1] + [10, -4]
+    t = x @ [0.5, 2.0] + 0.3 * rng.standard_normal(240)
+    k = np.arange(240) % 4
+    c = np.where(x[:, 0] > 11, 2, np.where(x[:, 1] > -4, 1, 0))
+    df = spark.createDataFrame([(*map(float, r), float(a), int(f), int(y)) for r, a, f, y in zip(x, t, k, c)] + [(None, 1.0, 1.0, 0, None)], "a double, b double, t double, fold int, y int")
+    want = []
+    for i in range(4):
+        tr, te = k != i, k == i
+        m, s = x[tr].mean(0), x[tr].std(0)
+        z = (x - m) / s
+        w = np.linalg.solve(z[tr].T @ z[tr] + np.eye(2), z[tr].T @ (t[tr] - t[tr].mean()))
+        r = t[te] - z[te] @ w - t[tr].mean()
+        want.append(1 - (r @ r) / ((t[te] - t[te].mean()) ** 2).sum())
+    assert np.allclose(heads.cross_validated_ridge(df, ["a", "b"], "t", "fold", 4), want, atol=1e-9)
+    got = heads.cross_validated_classes(df, ["a", "b"], "y", 3, "fold", 4)
+    assert len(got) == 4 and min(got) > 0.85
+    table = heads.Table(df.where("y is not null"), heads.scaler(df.where("y is not null"), ["a", "b"]), F.col("y"))
+    w = heads._softmax(table.df.select("x", "y"), 2, np.ones(3), 1.0, False)
+    z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(240)])
+    p = np.exp(z @ w)
+    p /= p.sum(1, keepdims=True)
+    g = z.T @ (p - np.eye(3)[c])
+    g[:2] += w[:2]
+    assert np.abs(g).max() < 1e-4  # the gradient is zero
+
+
+def test_small_network(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((1200, 2))
+    df = spark.createDataFrame([(*map(float, r), int(r[0] * r[1] > 0)) for r in x], "a double, b double, y int")
+    head, w = heads.small_network(df, ["a", "b"], "y", hidden=32, rounds=80, rate=5e-3)
+    s = heads.network_score(df, head, w).select("y", "score").collect()
+    assert np.mean([(r.score > 0.5) == r.y for r in s]) > 0.9  # no linear head can
+
+
+def test_words_come_from_the_fitted_texts(spark):
+    fitted = spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc"), (3, None)], "id int, t string")
+    other = spark.createDataFrame([(9, "aa dd dd dd"), (8, "dd"), (7, "")], "id int, t string")
+    words = ml.TfIdf(fitted, "id", "t", 10, bias=True)
+    assert {r.w: r.i for r in words.words.collect()} == {"aa": 0, "bb": 1, "cc": 2}
+    rows = words.transform(other).collect()
+    assert [(r.id, r.features.indices.tolist(), r.features.values.tolist()) for r in rows] == [(9, [0, 10], [1.0, 1.0])]
+    v = {r.id: r.features.toArray() for r in words.transform(fitted).collect()}
+    a, b = (1 + math.log(2)) * (math.log(4 / 2) + 1), math.log(4 / 3) + 1
+    assert np.allclose(v[1][:2], np.array([a, b]) / math.hypot(a, b))
+
+
+def test_candidate_packs(spark):
+    df = spark.createDataFrame([(i, *[0.5] * len(packs.FIELDS)) for i in range(60)] + [(99, *[None] * len(packs.FIELDS))], "id int, " + ", ".join(f"{f} double" for f in packs.FIELDS))
+    rows = packs.candidate_packs(df, "id").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.id, {})[r.kind] = r
+    assert all(set(p) == {"real", *packs.KINDS} and {r.candidate for r in p.values()} == {f"cand_{x}" for x in "ABCDEF"} for p in by.values()) and len(by) == 61
+    assert len({p["real"].candidate for p in by.values()}) == 6 and sum(r.label for r in rows) == 61
+    p = by[5]
+    assert p["real"].risk_scope == 0.5 and 0.55 <= p["naming_drift"].risk_scope <= 0.64 and p["scope_bloat"].additions > 30 and p["real"].n_threads == 0.5
+    assert rows == packs.candidate_packs(df.repartition(7), "id").orderBy("id", "candidate").collect() or sorted(rows) == sorted(packs.candidate_packs(df.repartition(7), "id").collect())
+
+
+def test_seams(spark):
+    def answer(pack):
+        if pack["id"].iloc[0] == 1:
+            return 'I take {"best_candidate": "b"}.'
+        if pack["id"].iloc[0] == 2:
+            raise OSError("no model")
+        return "c is it"
+
+    def model():
+        return lambda texts: np.array([[len(t)] for t in texts])
+
+    packs_ = spark.createDataFrame([(i, c, 0) for i in (1, 2, 3) for c in "abc"], "id int, name string, x int")
+    got = {r.id: (r.chosen, r.n_asked) for r in seams.choose(packs_, "id", "name", ["x"], answer, retries=1).collect()}
+    assert got == {1: ("b", 1), 2: ("a", 2), 3: ("c", 1)}
+    texts = spark.createDataFrame([(1, "abc"), (2, None), (3, ""), (4, "abcdef")], "k int, t string")
+    assert {r.k: r.vec for r in seams.infer(texts, "k", "t", model, batch=2).collect()} == {1: [3.0], 2: None, 3: [0.0], 4: [6.0]}
+
+
+def test_vector_store(spark, tmp_path):
+    df = spark.createDataFrame([(2, "m/x", 1, [3.0, 4.0]), (1, "m/x", 1, [0.0, 2.0]), (3, "m/x", 2, [1.0, 0.0]), (4, "m/x", 1, [float("nan"), 1.0]), (None, "m/x", 1, [1.0, 1.0])], "id int, model_name string, layer_index int, v array<double>")
+    place = f"file://{tmp_path}"
+    assert vector_store.write_vectors(df, place, "id", "v", "m/x", 1).endswith("vectors-m_x-layer1")
+    rows = vector_store.load_vectors(spark, place, "m/x", 1).orderBy("id").collect()
+    assert [r.id for r in rows] == [1, 2] and np.allclose([r.vec for r in rows], [[0, 1], [0.6, 0.8]])
+    assert vector_store.write_vectors(df, place, "id", "v", "none") == ""
+    with pytest.raises(FileNotFoundError):
+        vector_store.load_vectors(spark, place, "none")
+
+
+def test_vectors_of_other_lengths_are_left_out(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((40, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    whole = spark.createDataFrame(rows, "id int, v array<double>")
+    ragged = spark.createDataFrame([(100, [1.0, 2.0]), *rows[:20], (101, [1.0] * 6), *rows[20:], (102, None)], "id int, v array<double>")
+    key = lambda t: sorted((r.query, r["rank"], r.neighbour) for r in t.collect())
+    want = key(vectors.exact_knn(whole, "id", "v", 3))
+    assert key(vectors.exact_knn(ragged, "id", "v", 3)) == want
+    asked = ragged.where("id in (3, 101, 7)")
+    for few in (100, 0):  # sent to the collection, and in blocks
+        assert key(vectors.exact_knn(ragged, "id", "v", 3, asked, few=few)) == [t for t in want if t[0] in (3, 7)]
+    q = spark.createDataFrame([(i, (v + 0.3).tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    u, w = x / np.linalg.norm(x, axis=1, keepdims=True), (x + 0.3) / np.linalg.norm(x + 0.3, axis=1, keepdims=True)
+    s = w @ u.T
+    got = {r.id: r["rank"] for r in vectors.true_ranks(q, whole, "id", "v", block_rows=15, ask_rows=7).collect()}
+    assert got == {i: 1 + int((s[i] > s[i, i]).sum()) for i in range(40)}
+
+
+def test_sources_by_rule(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d")], "k int, v string")
+    assert sorted(r.v for r in readers.in_list(df, "k", [2, 2, None, 7]).collect()) == ["b", "d"] and readers.in_list(df, "k", []).count() == 0
+    assert [r.v for r in readers.first_matching(df, F.col("k") == 2, [F.desc("v")], 1).collect()] == ["d"]
+    assert sorted(r.chunk for r in sampling.round_robin(spark.range(10), [F.col("id")], 4).collect()) == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3]
+    partner = {r.id: r.partner for r in sampling.random_partners(spark.range(7), "id", 1).collect()}
+    assert sorted(partner.values()) == list(range(7)) and all(a != b for a, b in partner.items())
+    (tmp_path / "n.jsonl").write_text('{"id": 7, "buckets": {"0": [1, 2], "1": []}}\nbroken\n')
+    assert sorted(map(tuple, readers.json_id_lines(spark, str(tmp_path / "n.jsonl")).collect())) == [(7, "0", 1), (7, "0", 2)]
