@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import top_module
+from .ranking import running_sums
 
 
 def ownership(touches: DataFrame, keys: list[str], author: str) -> DataFrame:
@@ -65,18 +66,20 @@ def coverage_flag(n_touches: Column, n_neighbours: Column) -> Column:
 def upper_median(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``keys`` and the middle value of each column, the upper one of two; nulls don't count.
 
-    Values are counted first and the middle is found on running counts, so no group is gathered into a list: a heavy
-    group costs its different values.
+    One pass for all columns: values are counted for each group and column, and running counts in one global order of
+    group, column and value tell where a group's middle lies, so a heavy group spans partitions. A group without any
+    value has no row; null keys are a group.
     """
-    out = None
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("__n"))
-        w = Window.partitionBy(*keys)
-        run = F.sum("__n").over(w.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        mid = counts.withColumn("__run", run).withColumn("__all", F.sum("__n").over(w)).where(F.col("__run") > F.floor(F.col("__all") / 2))
-        one = mid.groupBy(*keys).agg(F.min(c).alias(c))
-        out = one if out is None else out.join(one, keys, "full")
-    return out
+    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    group = F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00null")).alias(k) for k in keys])
+    counts = df.select(group.alias("g"), entry.alias("e")).select("g", "e.i", "e.v").where("v is not null").groupBy("g", "i", "v").agg(F.count(F.lit(1)).alias("n"))
+    run = running_sums(counts, [F.col("g"), F.col("i"), F.col("v")], ["n"])
+    span = run.groupBy("g", "i").agg(F.min(F.col("run_n") - F.col("n")).alias("before"), F.sum("n").alias("size"))
+    middle = run.join(span, ["g", "i"]).where(F.col("run_n") - F.col("before") > F.floor(F.col("size") / 2)).groupBy("g").agg(
+        *[F.min(F.when(F.col("i") == i, F.col("v"))).cast(df.schema[c].dataType).alias(c) for i, c in enumerate(columns)]
+    )
+    name = lambda k: F.when(F.col(f"g.{k}") != "\x00null", F.col(f"g.{k}")).cast(df.schema[k].dataType).alias(k)
+    return middle.select(*[name(k) for k in keys], *columns)
 
 
 def fallback(sources: list[tuple[str, Column, dict[str, Column]]], default: dict[str, Column], tag: str = "metric_source") -> list[Column]:

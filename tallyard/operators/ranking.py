@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Stored
+from .skew import join_unique
 
 
 def global_position(df: DataFrame, by: list[Column], name: str = "position") -> DataFrame:
@@ -92,16 +95,32 @@ def binary_quality(df: DataFrame, label: str, predicted: Column) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks (F12, L5), over counts of each value."""
+    """Rank correlation with average ranks (F12, L5), over counts of each value; a value that many rows share takes its
+    rank by broadcast. ``a`` and ``b`` must differ."""
 
     def ranks(c: str) -> DataFrame:
         n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
         return running_sums(n, [F.col(c)], ["n"]).select(c, (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2).alias(f"__r_{c}"))
 
-    joined = df.join(ranks(a), a).join(ranks(b), b)
+    joined = join_unique(join_unique(df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()), ranks(a), a), ranks(b), b)
     return joined.agg(F.corr(f"__r_{a}", f"__r_{b}").alias("spearman"))
 
 
+def percentiles(df: DataFrame, column: str, at: list[float]) -> list[float | None]:
+    """Exact percentiles with linear interpolation (E24, E26), nulls not counted; None without values.
+
+    Values are counted, and their running counts tell which lie at the places asked for; no task holds all of them.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    run = running_sums(counts, [F.col("v")], ["n"])
+    n = run.agg(F.max("run_n")).first()[0]
+    if not n:
+        return [None] * len(at)
+    places = [p * (n - 1) for p in at]
+    found = run.agg(*[F.min(F.when(F.col("run_n") > i, F.col("v"))) for x in places for i in (math.floor(x), math.ceil(x))]).first()
+    return [lo + (hi - lo) * (x - math.floor(x)) for x, lo, hi in zip(places, found[::2], found[1::2])]
+
+
 def r_squared(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
     """1 - residual over total sum of squares."""
     t = df.select(truth.cast("double").alias("y"), guess.cast("double").alias("p")).where("y is not null and p is not null")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import from_log, per_thousand, risk_scope, sigmoid, warm_cosine
 from ..functions.text import api_base, first_json_object
+from ..operators import ranking
 from ..operators.ranking import first_per_group
 from ..sources import readers, sinks
 from ..streaming.incremental import windowed_counts
@@ -104,9 +105,9 @@ def early_stop_trace(spark: SparkSession, d: str) -> DataFrame:
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles, and the mean with missing values at the median."""
     f = _t(spark, d, "function_static_props")
-    m = f.agg(F.percentile("loc", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"))
-    filled = f.crossJoin(F.broadcast(m)).agg(F.avg(F.coalesce("loc", F.coalesce(F.col("p")[1], F.lit(1.0)))).alias("mean"), F.any_value("p").alias("p"))
-    return filled.select(F.col("p")[0].alias("p10"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p90"), F.round("mean", 6).alias("mean_filled"))
+    p = ranking.percentiles(f, "loc", [0.1, 0.5, 0.9])
+    mean = f.agg(F.round(F.avg(F.coalesce(F.col("loc").cast("double"), F.lit(1.0 if p[1] is None else p[1]))), 6).alias("mean_filled"))
+    return mean.select(*[F.lit(x).cast("double").alias(n) for x, n in zip(p, ("p10", "p50", "p90"))], "mean_filled")
 
 
 def fold_statistics(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import disconnect, pair_tier
 from ..operators import pairs, vectors
+from ..scratch import at_most
 
 
 def _emb(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +43,7 @@ def pairwise_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Full similarity matrix between the labels' mean vectors."""
     m = vectors.mean_vector(_emb(spark, d).where(vectors.finite(vectors.as_double("embedding"))), ["label"], "embedding").select("label", vectors.normalise(F.col("mean")).alias("v"))
     a, b = m.select(F.col("label").alias("a"), F.col("v").alias("va")), m.select(F.col("label").alias("b"), F.col("v").alias("vb"))
-    return a.join(F.broadcast(b), F.col("a") <= F.col("b")).select("a", "b", F.round(vectors.dot(F.col("va"), F.col("vb")), 5).alias("similarity"))  # a row for each label
+    return a.join(F.broadcast(at_most(b, 20_000)), F.col("a") <= F.col("b")).select("a", "b", F.round(vectors.dot(F.col("va"), F.col("vb")), 5).alias("similarity"))
 
 
 def centroid_center_norm(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +66,7 @@ def infonce_value(spark: SparkSession, d: str) -> DataFrame:
     """Contrastive loss of each label's mean against all vectors of that label and of the others."""
     e = _emb(spark, d).select("vec_id", "label", vectors.normalise(vectors.as_double("embedding")).alias("v"))
     m = vectors.mean_vector(e, ["label"], "v").select(F.col("label").alias("anchor"), vectors.normalise(F.col("mean")).alias("m"))
-    s = e.crossJoin(F.broadcast(m)).select("vec_id", "label", "anchor", vectors.dot(F.col("v"), F.col("m")).alias("s"))  # one row for each label
+    s = e.crossJoin(F.broadcast(at_most(m, 20_000))).select("vec_id", "label", "anchor", vectors.dot(F.col("v"), F.col("m")).alias("s"))  # the stated set of anchors
     own = F.sum(F.when(F.col("label") == F.col("anchor"), F.col("s")))
     per = s.groupBy("vec_id", "label").agg(vectors.info_nce(own, F.sum(F.exp(F.col("s") / 0.07)), 0.07).alias("loss"))
     return per.groupBy("label").agg(F.round(F.avg("loss"), 5).alias("loss"), F.count(F.lit(1)).alias("n"))

@@ -79,6 +79,13 @@ class Stored:
         _LEFT.pop(self.path, None)
 
 
+def at_most(df: DataFrame, n: int) -> DataFrame:
+    """The table, for a broadcast: an error if it has more than ``n`` rows."""
+    if df.limit(n + 1).count() > n:
+        raise ValueError(f"over {n} rows: too many to send to every task")
+    return df
+
+
 def own_path(spark: SparkSession, label: str) -> str:
     """A new place in the shared folder, deleted at ``release``."""
     path = f"{shared_dir(spark)}/files/{label}-{uuid.uuid4().hex}"

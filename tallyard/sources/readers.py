@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.ranking import running_sums
+from ..operators.skew import join_unique
 from ..scratch import path_exists
 
 
@@ -111,17 +113,19 @@ def listing(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def marked_sessions(lines: DataFrame, log: str, order: str, text: str, mark: str = "@@@") -> DataFrame:
-    """``log, session, hash, author, line`` of a text log in which a marked line opens a session.
+    """``log, session, hash, author, line`` of text logs in which a marked line opens a session.
 
-    One window for each log file, whose lines belong together; lines before the first mark and blank lines are dropped.
+    Sessions are numbered by running counts in the global order of log and line, so a long log spans partitions. Lines
+    before the first mark of their log and blank lines are dropped. ``order`` is unique in a log.
     """
-    w = Window.partitionBy(log).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    is_mark = F.col(text).startswith(mark)
-    head = F.substring(F.col(text), len(mark) + 1, 1 << 30)
-    numbered = lines.withColumn("session", F.sum(is_mark.cast("int")).over(w)).withColumn("__head", F.last(F.when(is_mark, head), True).over(w))
-    kept = numbered.where(~is_mark & (F.col("session") > 0) & (F.trim(text) != ""))
-    parts = F.split("__head", "\t", 2)
-    return kept.select(log, "session", F.get(parts, F.lit(0)).alias("hash"), F.get(parts, F.lit(1)).alias("author"), F.trim(text).alias("line"))
+    flat = lines.select(F.col(log).alias("log"), F.col(order).alias("at"), F.col(text).alias("line"), F.col(text).startswith(mark).cast("bigint").alias("mark"))
+    run = running_sums(flat.where("line is not null"), [F.col("log"), F.col("at")], ["mark"])
+    first = run.groupBy("log").agg(F.min(F.col("run_mark") - F.col("mark")).alias("before"))
+    parts = F.split(F.substring("line", len(mark) + 1, 1 << 30), "\t", 2)
+    heads = run.where("mark = 1").select(F.struct("log", "run_mark").alias("key"), F.get(parts, F.lit(0)).alias("hash"), F.get(parts, F.lit(1)).alias("author"))
+    kept = run.where((F.col("mark") == 0) & (F.trim("line") != "")).select("log", F.struct("log", "run_mark").alias("key"), "run_mark", F.trim("line").alias("line"))
+    found = join_unique(join_unique(kept, heads, "key"), first, "log")
+    return found.select(F.col("log").alias(log), (F.col("run_mark") - F.col("before")).alias("session"), "hash", "author", F.col("line").alias(text))
 
 
 def or_example(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:

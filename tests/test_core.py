@@ -255,6 +255,8 @@ def test_streamed_upserts_equal_batch(spark, tmp_path):
         q = incremental.upsert_stream(spark.readStream.schema("k int, v string, t int").parquet(str(src)), out, str(tmp_path / "state"), ["k"], "t")
         q.awaitTermination()
     assert sorted(map(tuple, incremental.latest(spark, out).select("k", "v").collect())) == [(1, "c"), (2, "e"), (3, "d")]
+    with pytest.raises(FileNotFoundError):
+        incremental.latest(spark, str(tmp_path / "nothing"))
 
 
 def test_heads_match_their_closed_forms(spark):
@@ -330,6 +332,17 @@ def test_cross_validation(spark):
     assert np.abs(g).max() < 1e-4  # the gradient is zero
 
 
+def test_percentiles_and_sessions(spark):
+    rng = random.Random(3)
+    v = [rng.choice([1.0, 1.0, 1.0, 2.5, rng.random() * 10]) for _ in range(501)]
+    df = spark.createDataFrame([(x,) for x in v] + [(None,)] * 9, "v double").repartition(5)
+    assert np.allclose(ranking.percentiles(df, "v", [0, 0.1, 0.5, 0.9, 1]), np.percentile(v, [0, 10, 50, 90, 100]))
+    assert ranking.percentiles(df.limit(0), "v", [0.5]) == [None]
+    logs = [("a", 0, "lost"), ("a", 1, "@@@h1\tx"), ("a", 2, " f.py "), ("a", 3, ""), ("a", 4, "@@@h2\ty"), ("a", 5, "g.py"), ("b", 0, "no mark"), ("c", 0, "@@@h3"), ("c", 1, "z.py"), ("c", 2, None)]
+    got = readers.marked_sessions(spark.createDataFrame(logs, "log string, n int, line string").repartition(4), "log", "n", "line").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", 1, "h1", "x", "f.py"), ("a", 2, "h2", "y", "g.py"), ("c", 1, "h3", None, "z.py")]
+
+
 def test_small_network(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((1200, 2))
