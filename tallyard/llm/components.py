@@ -69,7 +69,7 @@ def _fold(parts: list[np.ndarray]) -> np.ndarray:
 _EDGE = "node bigint, root bigint"
 
 
-def forest_components(edges: DataFrame, a: str, b: str, part_edges: int = 2_000_000, fan_in: int = 8) -> DataFrame:
+def forest_components(edges: DataFrame, a: str, b: str, part_edges: int = 2_000_000, fan_in: int = 8, max_rounds: int = 60) -> DataFrame:
     """``node bigint, component bigint``: the smallest id of everything linked to ``node``, itself included.
 
     Every level runs union-find in each partition and keeps only a spanning forest. The next level has ``fan_in`` times
@@ -84,7 +84,7 @@ def forest_components(edges: DataFrame, a: str, b: str, part_edges: int = 2_000_
     alone = links.where("node = root").select("node", "root")
     stored = Stored(links.where("node != root").mapInArrow(_forest, _EDGE), "forest")
     parts = max(1, stored.df.rdd.getNumPartitions())
-    while True:
+    for _ in range(max_rounds):
         n = stored.df.count()
         need = max(1, -(-n // part_edges))
         parts = max(need, -(-parts // fan_in))
@@ -94,17 +94,20 @@ def forest_components(edges: DataFrame, a: str, b: str, part_edges: int = 2_000_
         if parts == 1:
             break
         if need > 1:
-            stored, settled = _jump(stored)
+            stored, settled = _jump(stored, part_edges)
             if settled:
                 break
+    else:
+        raise RuntimeError("the forests did not settle")
     found = stored.df.select("node", F.col("root").alias("component"))
     roots = found.select(F.col("component").alias("node"), "component").distinct()
     single = alone.join(stored.df, "node", "left_anti").join(roots, "node", "left_anti").select("node", F.col("node").alias("component")).distinct()
     return found.unionByName(roots).unionByName(single)
 
 
-def _jump(stored: Stored) -> tuple[Stored, bool]:
-    """Pointer jumping to a fixed point; settled if then every node has one root only."""
+def _jump(stored: Stored, part_edges: int) -> tuple[Stored, bool]:
+    """Pointer jumping to a fixed point; settled if then every node has one root only. The children of a giant root are
+    spread over as many salts as its count asks for."""
     while True:
         e = stored.df
         # parents of nodes that are themselves roots; heavy roots spread over salts
@@ -112,7 +115,8 @@ def _jump(stored: Stored) -> tuple[Stored, bool]:
         if up.isEmpty():
             one = e.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").isEmpty()
             return stored, one
-        salts = 8
+        largest = e.groupBy("root").count().agg(F.max("count")).first()[0] or 0
+        salts = max(1, -(-largest // part_edges))
         left = e.withColumn("salt", F.pmod(F.hash("node"), F.lit(salts)))
         right = up.select(F.col("node").alias("root"), "top", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"))
         # a node keeps its link to an old root only through that root's own link upwards
