@@ -93,57 +93,69 @@ class Model:
     def __init__(self, subjects: list[str], features: list[str], evidence: np.ndarray, offsets: np.ndarray, limit: float):
         self.subjects, self.features, self.evidence, self.offsets, self.limit = subjects, features, evidence, offsets, limit
         self._number = {f: i for i, f in enumerate(features)}
-        self._rows: list[np.ndarray] = []  # evidence of words and pairs that have any
-        self._of: dict[str, int] = {}
+        self._clear()
 
     def __reduce__(self):
         return Model, (self.subjects, self.features, self.evidence, self.offsets, self.limit)
 
-    def _row(self, w: str) -> int:
-        e = [i for f in word_features(w) if (i := self._number.get(f)) is not None]
-        if e:
-            self._rows.append(self.evidence[e].sum(0))
-        self._of[w] = at = len(self._rows) - 1 if e else -1
-        return at
+    def _clear(self) -> None:
+        """Forget the words met so far: numbers of runs' words, the words, and their evidence (row 0: none)."""
+        self._runs: dict[str, tuple[int, ...]] = {}
+        self._words: dict[str, int] = {}
+        self._row_of: list[int] = []
+        self._rows = [np.zeros(len(self.subjects), np.float32)]
+
+    def _learn(self, run: str) -> tuple[int, ...]:
+        found = []
+        for w in _parts(run):
+            if w not in self._words:
+                self._words[w] = len(self._words)
+                e = [i for f in word_features(w) if (i := self._number.get(f)) is not None]
+                self._row_of.append(len(self._rows) if e else 0)
+                if e:
+                    self._rows.append(self.evidence[e].sum(0))
+            found.append(self._words[w])
+        self._runs[run] = numbers = tuple(found)
+        return numbers
 
     def outputs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Logistic outputs of each segment for each subject, and how many segments each text has."""
-        if len(self._of) > 200_000:
-            self._of.clear()
-            self._rows.clear()
-        of, number, pair_base = self._of, self._number, 1 << 30
-        seg, at, size, per_text, n = [], [], [], [], 0
+        """Logistic outputs of each segment for each subject, and how many segments each text has. Words are numbered as they
+        come; what lies in a segment once, and which neighbours are a feature, is found for all texts together."""
+        if len(self._runs) > 200_000:
+            self._clear()
+        runs, learn, flat, size, per_text = self._runs, self._learn, [], [], []
         for t in texts:
-            own = segments(t)
-            per_text.append(len(own))
-            for w in own:
-                size.append(len(w))
-                for x in set(w):
-                    i = of.get(x)
-                    if i is None:
-                        i = self._row(x)
-                    if i >= 0:
-                        seg.append(n)
-                        at.append(i)
-                for x in {a + b for a, b in zip(w, w[1:])}:
-                    i = number.get(x)
-                    if i is not None:
-                        seg.append(n)
-                        at.append(pair_base + i)
-                n += 1
-        out = np.zeros((n, len(self.subjects)), np.float32)
-        if seg:
-            s, a = np.array(seg), np.array(at)
-            pair = a >= pair_base
-            v = np.empty((len(a), len(self.subjects)), np.float32)
-            v[pair] = self.evidence[a[pair] - pair_base]
-            if not pair.all():
-                v[~pair] = np.array(self._rows)[a[~pair]]
-            used, first = np.unique(s, return_index=True)
-            out[used] = np.add.reduceat(v, first)
-        if n:
-            out = sigmoid(out * segment_scale(np.array(size))[:, None] + self.offsets)
-        return out, np.array(per_text, np.int64)
+            before = len(size)
+            for part in _SEGMENT.split(t or ""):
+                at = len(flat)
+                for r in _RUN.findall(part):
+                    flat += runs.get(r) or learn(r)
+                if len(flat) > at:
+                    size.append(len(flat) - at)
+            per_text.append(len(size) - before)
+        n, words = np.array(per_text, np.int64), np.array(size, np.int64)
+        if not size:
+            return np.zeros((0, len(self.subjects)), np.float32), n
+        w, seg, many = np.array(flat, np.int64), np.repeat(np.arange(len(words)), words), len(self._words)
+        key = np.unique(seg * many + w)
+        row = np.array(self._row_of)[key % many]
+        hit, at = [key[row > 0] // many], [np.array(self._rows)[row[row > 0]]]
+        same = seg[1:] == seg[:-1]
+        pair, where_ = np.unique(w[:-1][same] * many + w[1:][same], return_inverse=True)
+        names = list(self._words)
+        number = np.array([self._number.get(names[a] + names[b], -1) for a, b in zip((pair // many).tolist(), (pair % many).tolist())], np.int64)
+        if len(number) and (number >= 0).any():
+            of = number[where_.ravel()]
+            key = np.unique(seg[1:][same][of >= 0] * len(self.features) + of[of >= 0])
+            hit.append(key // len(self.features))
+            at.append(self.evidence[key % len(self.features)])
+        s, v = np.concatenate(hit), np.concatenate(at)
+        order = np.argsort(s, kind="stable")
+        out = np.zeros((len(words), len(self.subjects)), np.float32)
+        if len(s):
+            used, first = np.unique(s[order], return_index=True)
+            out[used] = np.add.reduceat(v[order], first)
+        return sigmoid(out * segment_scale(words)[:, None] + self.offsets), n
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         """Texts by subjects; 0 for a text without words."""
@@ -180,21 +192,21 @@ def choose_features(sample: DataFrame, n_subjects: int) -> list[str]:
     three documents has. How many there are is bounded by the labelled sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
+        number: dict[str, int] = {}
+        ids, sizes, ys = [], [], []
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                v = np.array([1.0, *y])
-                for f in {f for w in segments(t) for f in segment_features(w)}:
-                    if f in seen:
-                        seen[f] += v
-                    else:
-                        seen[f] = v.copy()
-        keys = list(seen)
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.string())] + [pa.array(c) for c in np.array([seen[k] for k in part]).reshape(-1, n_subjects + 1).T], names=["feature", "n", *[f"y{i}" for i in range(n_subjects)]]
-            )
+                own = {f for w in segments(t) for f in segment_features(w)}
+                ids += [number.setdefault(f, len(number)) for f in own]
+                sizes.append(len(own))
+                ys.append([1.0, *y])
+        if not number:
+            return
+        at, doc = np.array(ids), np.repeat(np.arange(len(sizes)), sizes)
+        sums = [np.bincount(at, c[doc], len(number)) for c in np.array(ys).T]
+        keys = pa.array(list(number), pa.string())
+        for i in range(0, len(number), 50_000):
+            yield pa.RecordBatch.from_arrays([keys.slice(i, 50_000), *[pa.array(c[i : i + 50_000]) for c in sums]], names=["feature", "n", *[f"y{i}" for i in range(n_subjects)]])
 
     names = ["n", *[f"y{i}" for i in range(n_subjects)]]
     sums = sample.select("text", "y").mapInArrow(run, "feature string, " + ", ".join(f"{c} double" for c in names)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in names])
