@@ -13,6 +13,7 @@ from ..operators import pairs, sampling, seams, vectors
 from ..operators.ranking import first_per_group
 from ..scratch import own_path
 from ..sources import readers, sinks, vector_store
+from ..streaming import incremental
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -55,7 +56,7 @@ _LINE = "query_id bigint, neighbour_id bigint, query_model string, cosine_simila
 
 
 def json_lines_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Judged pairs as JSON lines without their bulky columns, appended in two portions; read back,
+    """Judged pairs as JSON lines without their bulky columns, appended in two portions; read back,
     all stage counters in one pass."""
     j = F.col("judge")
     p = _t(spark, d, "knn_pairs").select(
@@ -63,7 +64,7 @@ def json_lines_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     )
     path = own_path(spark, "pairs")
     for part in (F.coalesce("cross_repo", F.lit(False)), ~F.coalesce("cross_repo", F.lit(False))):
-        sinks.write_json_lines(p.where(part), path, drop=["reason"], lengths=["reason"], mode="append")
+        sinks.write_json_lines(p.where(part), path, drop=["reason"], lengths=["reason"], mode="append", flush_rows=500)
     back = readers.json_lines(spark, path, _LINE)
     ok = F.col("is_judged")
     near = ok & (F.col("cosine_similarity") >= 0.5)
@@ -155,6 +156,39 @@ def inferred_vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.select("doc_id", F.get("vec", F.lit(0)).cast("bigint").alias("n_chars"), F.get("vec", F.lit(1)).cast("bigint").alias("n_blanks"))
 
 
+def listed_repos(spark: SparkSession, d: str) -> DataFrame:
+    """A list file written and read back, blank lines left out."""
+    path = own_path(spark, "list")
+    names = _t(spark, d, "repo_splits").select(F.explode(F.array(F.concat(F.lit(" "), "repo"), F.lit(""))).alias("value"))
+    names.write.text(path)
+    return readers.list_file(spark, path).distinct()
+
+
+def streamed_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """2.N, B2: the metrics as a stream of two deliveries, each upserted into the parts of a table that it touches."""
+    keys = ["feature_instance_id", "feature_file", "feature_function"]
+    m = _t(spark, d, "followup_org_metrics").select(*keys, "created_at", "ownership_friction").distinct()
+    # of rows that arrive at once the one with the greater value comes last
+    m = m.groupBy(*keys, "created_at").agg(F.max("ownership_friction").alias("ownership_friction"))
+    source, target, state = own_path(spark, "stream"), own_path(spark, "streamed"), own_path(spark, "state")
+    late = F.col("created_at") >= F.lit("2025-08-01").cast("timestamp")
+    for part in (~late, late):
+        m.where(part).write.mode("append").parquet(source)
+        incremental.upsert_stream(spark.readStream.schema(m.schema).parquet(source), target, state, keys, "created_at").awaitTermination()
+    return incremental.latest(spark, target).select(*keys, "ownership_friction")
+
+
+def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """2.N: hourly counts of the events as a stream, in the same code as over a table."""
+    source, target, state = own_path(spark, "events"), own_path(spark, "windows"), own_path(spark, "state")
+    e = _t(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    e.write.parquet(source)
+    w = incremental.windowed_counts(spark.readStream.schema(e.schema).parquet(source), "ts", "event_type", "value")
+    # one portion in update mode: each window comes once, as it stands at the end
+    w.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("append").parquet(target)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 def _pair_vectors(spark: SparkSession, d: str) -> DataFrame:
     """``function_id, sig, body``: unit vectors of the functions that have both, once each."""
     t = _t(spark, d, "function_student_targets").select("function_id", vectors.as_double("sig_embedding").alias("sig"), vectors.as_double("body_embedding").alias("body"))
@@ -218,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         filtered_scan, pr_code_scan, first_functions_per_file, task_scan, round_robin_chunks, json_lines_roundtrip, first_judged_lines, negatives_by_bucket, stored_vectors, cached_scores,
-        empty_or_example, tree_blobs, candidate_choice, inferred_vectors, random_pair_baseline, infonce_negatives, masked_token_loss, source_views, resolved_names, dedented,
+        listed_repos, streamed_upsert, streamed_windows, empty_or_example, tree_blobs, candidate_choice, inferred_vectors, random_pair_baseline, infonce_negatives, masked_token_loss, source_views, resolved_names, dedented,
     )
 }
 
@@ -256,6 +290,10 @@ SQL = {
         SELECT id, round(({_UNIT.format(v="v")})[1], 4) AS first FROM e WHERE model_name = 'quill-coder-8b' AND layer_index = 18 AND {_GOOD.format(v="v")}""",
     "cached_scores": """SELECT vec_id, CAST(label AS INTEGER) AS label, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 4) AS norm2
         FROM embeddings WHERE label < 5""",
+    "listed_repos": "SELECT DISTINCT repo AS item FROM repo_splits WHERE repo IS NOT NULL",
+    "streamed_upsert": """SELECT DISTINCT ON (feature_instance_id, feature_file, feature_function) feature_instance_id, feature_file, feature_function, ownership_friction
+        FROM followup_org_metrics ORDER BY feature_instance_id, feature_file, feature_function, created_at DESC, ownership_friction DESC NULLS LAST""",
+    "streamed_windows": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "empty_or_example": "SELECT * FROM (VALUES ('own/one', 'train'), ('own/two', 'val')) AS t(repo, split_name)",
     "tree_blobs": """SELECT DISTINCT repo, path, CASE WHEN path LIKE 'src/%' THEN '# ' || repo || ' at c0ffee: ' || chr(65533) END AS content
         FROM (SELECT repo, unnest(['src/' || string_split(repo, '/')[-1] || '.py', 'lib/util.py']) AS path FROM repo_splits WHERE repo IS NOT NULL)""",

@@ -41,10 +41,11 @@ def not_done(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def write_json_lines(df: DataFrame, path: str, drop: list[str] = (), lengths: list[str] = (), mode: str = "errorifexists") -> None:
-    """JSON lines without bulky columns, with the lengths of some instead."""
+def write_json_lines(df: DataFrame, path: str, drop: list[str] = (), lengths: list[str] = (), mode: str = "errorifexists", flush_rows: int = 0) -> None:
+    """JSON lines without bulky columns, with the lengths of some instead (B8 to B10). A file is closed every
+    ``flush_rows`` rows, and at a task's end (B7); 0: at the end only."""
     out = df.withColumns({f"{c}_len": F.length(c) for c in lengths}).drop(*drop) if lengths or drop else df
-    out.write.mode(mode).json(path)
+    out.write.mode(mode).option("maxRecordsPerFile", flush_rows).json(path)
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:
