@@ -148,7 +148,7 @@ def _star(edges: DataFrame, large: bool, n: int, heavy_share: int) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def star_components(edges: DataFrame, a: str, b: str, heavy_share: int = 200, max_rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame, a: str, b: str, heavy_share: int = 200, max_rounds: int = 60, part_edges: int = 200_000) -> DataFrame:
     """``node, component``: for every node of a link the smallest node it is linked to, directly or not.
 
     Alternates large-star (neighbours above a node link to its smallest neighbour) and small-star (neighbours below do)
@@ -160,13 +160,19 @@ def star_components(edges: DataFrame, a: str, b: str, heavy_share: int = 200, ma
     first = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     stored = Stored(first, "star")
 
+    def step(large: bool) -> Stored:
+        """One step, written in parts of some ``part_edges`` edges: a small graph isn't worth many tasks."""
+        out = _star(half.df if not large else stored.df, large, now[0], heavy_share)
+        return Stored(out.coalesce(parts) if parts == 1 else out, "star")
+
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     now = mark(stored.df)
     for _ in range(max_rounds):
-        half = Stored(_star(stored.df, True, now[0], heavy_share), "star")
-        done = Stored(_star(half.df, False, now[0], heavy_share), "star")
+        parts = max(1, -(-now[0] // part_edges))
+        half = step(True)
+        done = step(False)
         half.drop()
         stored.drop()
         stored, before, now = done, now, mark(done.df)
