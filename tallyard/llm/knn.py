@@ -169,6 +169,11 @@ def _floats(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _each(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row ``n`` times, and which time it is."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Cells:
     """Cells of a coarse clustering of each space. A crowded cell has several blocks of members and of visitors; a task
     is one block of each."""
@@ -208,20 +213,18 @@ class Cells:
     def visit(self, space: str, unit: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, task, whether it is a member there, whether it asks there). A row is a member of one block of its
         nearest cell, with every block of visitors, and asks every block of members from one block of visitors; ``spread`` decides which."""
-        who, task, member, asks = [], [], [], []
+        parts = []
         for j, (go, c) in enumerate(self.near(space, unit)):
             nm, ng = self.members[c], self.guests[c]
             h = spread[go].astype(np.uint64)
             own, seat = (h % nm.astype(np.uint64)).astype(np.int64), (h // np.uint64(1 << 20) % ng.astype(np.uint64)).astype(np.int64)
-            for a in range(int(nm.max(initial=0))):
-                for b in range(int(ng.max(initial=0))):
-                    is_member, does_ask = (own == a) & (b < ng) & (j == 0), (seat == b) & (a < nm)
-                    ok = is_member | does_ask
-                    who.append(go[ok])
-                    task.append((self.offset[c] + a * ng + b)[ok])
-                    member.append(is_member[ok])
-                    asks.append(does_ask[ok])
-        return tuple(np.concatenate(x) for x in (who, task, member, asks))
+            i, block = _each(nm)  # as a visitor, to every block of members
+            parts.append((go[i], self.offset[c[i]] + block * ng[i] + seat[i], (block == own[i]) & (j == 0), np.ones(len(i), bool)))
+            if j == 0:
+                i, block = _each(ng)  # as a member, to every block of visitors but its own seat's, which is above
+                i, block = i[block != seat[i]], block[block != seat[i]]
+                parts.append((go[i], self.offset[c[i]] + own[i] * ng[i] + block, np.ones(len(i), bool), np.zeros(len(i), bool)))
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def fit_cells(rows: DataFrame, dim: int, cell_rows: int, sample_rows: int, margin: float, visits: int) -> Cells:
@@ -265,11 +268,11 @@ def class_neighbours(
     Each space has one cell for ``cell_rows`` rows: 8,192, or 32,768 for neighbours however far. The centroids are fitted on at most ``sample_rows`` rows in all (the
     only sample). A class is indexed in its nearest cell and also searched in up to ``visits`` - 1 others whose centroid
     is within ``margin`` of the nearest: a vector at cosine 0.9 moves the difference of two centroids' products by some
-    0.07, so 0.12 and 6 do from 0.8 on; farther neighbours take 0.3 and 4, and more lists in a cell. A cell that the
+    0.07, so 0.12 and 6 do from 0.8 on; farther neighbours take 0.3 and 8, and more lists in a cell. A cell that the
     sample shows to be crowded is cut into blocks by class hash, of some 2 ``cell_rows`` members and twice as many visitors.
     """
     near = min_cosine >= 0.8
-    cells = fit_cells(rows, dim, cell_rows or (8192 if near else 32_768), sample_rows, margin or (0.12 if near else 0.3), visits or (6 if near else 4))
+    cells = fit_cells(rows, dim, cell_rows or (8192 if near else 32_768), sample_rows, margin or (0.12 if near else 0.3), visits or (6 if near else 8))
     shared = rows.sparkSession.sparkContext.broadcast(cells)  # at most sample_rows / 16 centroids
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
