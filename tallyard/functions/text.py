@@ -27,21 +27,30 @@ def base_name(path: Column | str) -> Column:
     return F.substring_index(_col(path), "/", -1)
 
 
+#: The lines of a unified diff that name a file, and the Python files among them.
+DIFF_LINE, NEW_PATH, OLD_PATH = r"(?m)^(?:diff --git a/(?:.+?) b/.+|\+\+\+ b/.+)$", r"^\+\+\+ b/(.+)$", r"^diff --git a/(.+?) b/.+$"
+PYTHON_FILE = r"\.pyx?$"
+
+
 def diff_paths(patch: Column | str) -> Column:
     """Python files that a unified diff names, each once in order of appearance.
 
     A ``diff --git`` line gives the old path, ``+++ b/`` the new one, so a rename lists both. Null gives an empty array.
     """
     text = F.coalesce(_col(patch), F.lit(""))
-    both = F.regexp_extract_all(text, F.lit(r"(?m)^(?:diff --git a/(?:.+?) b/.+|\+\+\+ b/.+)$"), F.lit(0))
-    paths = F.transform(both, lambda x: F.when(x.startswith("+++"), F.regexp_extract(x, r"^\+\+\+ b/(.+)$", 1)).otherwise(F.regexp_extract(x, r"^diff --git a/(.+?) b/.+$", 1)))
-    return F.array_distinct(F.filter(paths, lambda p: p.rlike(r"\.pyx?$")))
+    both = F.regexp_extract_all(text, F.lit(DIFF_LINE), F.lit(0))
+    paths = F.transform(both, lambda x: F.when(x.startswith("+++"), F.regexp_extract(x, NEW_PATH, 1)).otherwise(F.regexp_extract(x, OLD_PATH, 1)))
+    return F.array_distinct(F.filter(paths, lambda p: p.rlike(PYTHON_FILE)))
+
+
+#: An identifier, and one that says nothing.
+IDENTIFIER, BARE_IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*", "^[a-z][0-9]*$"
 
 
 def name_quality(title: Column | str) -> Column:
     """Share of identifiers with three letters or more that aren't a letter with digits; 0.5 without any."""
-    words = F.regexp_extract_all(F.coalesce(_col(title), F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
-    good = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike("^[a-z][0-9]*$"))
+    words = F.regexp_extract_all(F.coalesce(_col(title), F.lit("")), F.lit(IDENTIFIER), F.lit(0))
+    good = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike(BARE_IDENTIFIER))
     return F.when(F.size(words) == 0, 0.5).otherwise(F.size(good) / F.size(words))
 
 

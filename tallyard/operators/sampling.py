@@ -74,7 +74,7 @@ def random_partners(df: DataFrame, key: str, seed: int) -> DataFrame:
     return placed.join(behind, "position").select(key, "partner")
 
 
-def group_folds(df: DataFrame, group: str, k: int, heavy: float = 0.001, buckets: int = 1024) -> DataFrame:
+def group_folds(df: DataFrame, group: str, k: int, heavy: float = 0.001, buckets: int = 1024, seed: int = 42) -> DataFrame:
     """``group, n, fold`` with whole groups and folds of like size (K6).
 
     Largest first to the smallest fold, as far as size matters: groups above ``heavy`` of all rows (at most 1/heavy of
@@ -82,7 +82,7 @@ def group_folds(df: DataFrame, group: str, k: int, heavy: float = 0.001, buckets
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    bucket = F.pmod(F.xxhash64(F.col(group)), F.lit(buckets)).cast("int")
+    bucket = F.floor(hash_unit(F.coalesce(F.col(group).cast("string"), F.lit("")), seed=seed) * buckets).cast("int")
     is_big = F.col("n") > total * heavy
     units = [(r["n"], None, r[group]) for r in sizes.where(is_big).collect()]
     units += [(r["n"], r["b"], None) for r in sizes.where(~is_big).groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()]

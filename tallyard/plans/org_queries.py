@@ -119,15 +119,22 @@ QUERIES = {f.__name__: f for f in (ownership_metrics, cochange_edges, interface_
 
 _REPO = r"nullif(regexp_replace(regexp_replace(lower({c}), '^\s+', ''), '(\.git|/|\s)+$', ''), '')"
 _T = f"""raw AS (SELECT coalesce({_REPO.format(c="repo")}, '(none)') AS repo, instance_id, coalesce(nullif(lower(trim(pr_author)), ''), 'unknown') AS author,
-        list_filter(list_transform(coalesce(TRY_CAST(file_patches AS JSON[]), []), lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN coalesce(nullif(x ->> 'file_path', ''), nullif(x ->> 'path', ''), nullif(x ->> 'file', ''), nullif(x ->> 'filename', '')) ELSE x ->> '$' END), lambda x: x <> '') AS fs FROM prs_copy),
+        list_filter(list_transform(coalesce(TRY_CAST(file_patches AS JSON[]), []), lambda x: CASE
+        WHEN json_type(x) = 'OBJECT' THEN coalesce(nullif(x ->> 'file_path', ''), nullif(x ->> 'path', ''), nullif(x ->> 'file', ''),
+        nullif(x ->> 'filename', '')) ELSE x ->> '$' END), lambda x: x <> '') AS fs FROM prs_copy),
     t AS (SELECT repo, instance_id, author, unnest(list_distinct(fs)) AS file FROM raw), touches AS (SELECT * FROM t WHERE regexp_matches(file, '\\.(py|pyi|pyx)$'))"""
-_OWN = """cnt AS (SELECT repo, file, author, count(*) AS n FROM touches GROUP BY 1, 2, 3), tot AS (SELECT repo, file, sum(n) AS t, count(*) AS a, max(n) AS m FROM cnt GROUP BY 1, 2),
-    ent AS (SELECT repo, file, any_value(t) AS t, any_value(a) AS a, any_value(m) AS m, -sum(n / t * ln(n / t + 1e-12)) AS h FROM cnt JOIN tot USING (repo, file) GROUP BY 1, 2),
+_OWN = """cnt AS (SELECT repo, file, author, count(*) AS n FROM touches GROUP BY 1, 2, 3), tot AS (SELECT repo, file, sum(n) AS t, count(*) AS a,
+        max(n) AS m FROM cnt GROUP BY 1, 2),
+    ent AS (SELECT repo, file, any_value(t) AS t, any_value(a) AS a, any_value(m) AS m, -sum(n / t * ln(n / t + 1e-12)) AS h FROM cnt
+        JOIN tot USING (repo, file) GROUP BY 1, 2),
     own AS (SELECT repo, file, CAST(t AS BIGINT) AS n_touches, a AS n_authors, m / t AS top_share, h AS entropy,
-        greatest(0.0, least(1.0, 0.6 * (1 - m / t) + 0.4 * (CASE WHEN a > 1 THEN h / ln(greatest(a, 2)) ELSE 0 END))) * least(1.0, ln(1 + a) / ln(10)) AS friction FROM ent)"""
+        greatest(0.0, least(1.0, 0.6 * (1 - m / t) + 0.4 * (CASE WHEN a > 1 THEN h / ln(greatest(a, 2)) ELSE 0 END))) * least(1.0,
+        ln(1 + a) / ln(10)) AS friction FROM ent)"""
 _MOD = "CASE WHEN trim({c}, '/') = '' THEN '__root__' ELSE string_split(trim({c}, '/'), '/')[1] END"
-_EDGE = f"""once AS (SELECT DISTINCT repo, instance_id, file FROM touches), narrow AS (SELECT * FROM once WHERE (repo, instance_id) IN (SELECT (repo, instance_id) FROM once GROUP BY repo, instance_id HAVING count(*) <= 120)),
-    edges AS (SELECT a.repo, a.file AS src, b.file AS dst, CAST(sum(CASE WHEN {_MOD.format(c="a.file")} <> {_MOD.format(c="b.file")} THEN 1.25 ELSE 1.0 END) AS DOUBLE) AS weight
+_EDGE = f"""once AS (SELECT DISTINCT repo, instance_id, file FROM touches), narrow AS (SELECT * FROM once WHERE (repo, instance_id) IN (SELECT (repo,
+        instance_id) FROM once GROUP BY repo, instance_id HAVING count(*) <= 120)),
+    edges AS (SELECT a.repo, a.file AS src, b.file AS dst, CAST(sum(CASE WHEN {_MOD.format(c="a.file")} <> {_MOD.format(c="b.file")} THEN 1.25
+        ELSE 1.0 END) AS DOUBLE) AS weight
         FROM narrow a JOIN narrow b ON a.repo = b.repo AND a.instance_id = b.instance_id AND a.file <> b.file GROUP BY 1, 2, 3)"""
 _M = f"m AS (SELECT *, {_REPO.format(c='feature_repo')} AS repo FROM followup_org_metrics)"
 _MED = lambda c: f"list_sort(list({c}) FILTER (WHERE {c} IS NOT NULL))[CAST(floor(count({c}) / 2) AS BIGINT) + 1]"
@@ -136,28 +143,43 @@ _ANCHOR = """SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, """ + ", ".join(
     for c in ("click", "purchase")
 ) + " FROM events GROUP BY 1, 2"
 SQL = {
-    "ownership_metrics": f"WITH {_T}, {_OWN} SELECT repo, file, n_touches, n_authors, round(top_share, 6) AS top_share, round(entropy, 6) + 0.0 AS entropy, round(friction, 6) AS friction FROM own",
+    "ownership_metrics": f"""WITH {_T}, {_OWN} SELECT repo, file, n_touches, n_authors, round(top_share, 6) AS top_share, round(entropy,
+        6) + 0.0 AS entropy, round(friction, 6) AS friction FROM own""",
     "cochange_edges": f"WITH {_T}, {_EDGE} SELECT * FROM edges",
-    "interface_stress": f"""WITH {_T}, {_EDGE}, c AS (SELECT repo, src AS file, sum(weight) AS degree, count(*) AS n_neighbours, sum(CASE WHEN {_MOD.format(c="src")} <> {_MOD.format(c="dst")} THEN weight ELSE 0 END) / sum(weight) AS r FROM edges GROUP BY 1, 2)
-        SELECT f.repo, f.file, round(coalesce(degree, 0.0), 6) AS degree, round(coalesce(r, 0.0), 6) AS cross_ratio, round(coalesce(ln(1 + degree) * r, 0.0), 6) AS stress, coalesce(n_neighbours, 0) AS n_neighbours,
-        CASE WHEN coalesce(n_neighbours, 0) = 0 THEN 'low_signal' ELSE 'ok' END AS flag FROM (SELECT DISTINCT repo, file FROM touches) f LEFT JOIN c ON c.repo = f.repo AND c.file = f.file""",
+    "interface_stress": f"""WITH {_T}, {_EDGE}, c AS (SELECT repo, src AS file, sum(weight) AS degree, count(*) AS n_neighbours, sum(CASE
+        WHEN {_MOD.format(c="src")} <> {_MOD.format(c="dst")} THEN weight ELSE 0 END) / sum(weight) AS r FROM edges GROUP BY 1, 2)
+        SELECT f.repo, f.file, round(coalesce(degree, 0.0), 6) AS degree, round(coalesce(r, 0.0), 6) AS cross_ratio, round(coalesce(ln(1 + degree) * r,
+        0.0), 6) AS stress, coalesce(n_neighbours, 0) AS n_neighbours,
+        CASE WHEN coalesce(n_neighbours, 0) = 0 THEN 'low_signal' ELSE 'ok' END AS flag FROM (SELECT DISTINCT repo, file FROM touches) f LEFT
+        JOIN c ON c.repo = f.repo AND c.file = f.file""",
     "repo_upper_median": f"WITH {_M} SELECT repo, " + ", ".join(f"{_MED(c)} AS {c}" for c in _NUM) + " FROM m WHERE repo IS NOT NULL GROUP BY 1",
-    "first_seen_stats": f"""WITH {_M}, p AS (SELECT repo, feature_file, first(coalesce(ownership_friction, 0.0) ORDER BY created_at, feature_instance_id, feature_function, coalesce(ownership_friction, 0.0)) AS f, count(*) AS n FROM m WHERE repo IS NOT NULL GROUP BY 1, 2)
+    "first_seen_stats": f"""WITH {_M}, p AS (SELECT repo, feature_file, first(coalesce(ownership_friction, 0.0) ORDER BY created_at,
+        feature_instance_id, feature_function, coalesce(ownership_friction, 0.0)) AS f, count(*) AS n FROM m WHERE repo IS NOT NULL GROUP BY 1, 2)
         SELECT repo, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_rows, round(sum(f * n) / sum(n), 9) AS mean_friction FROM p GROUP BY 1""",
     "org_fallback_merge": f"""WITH {_T}, {_OWN}, {_M}, want AS (SELECT DISTINCT repo, feature_file AS file FROM m),
-        git AS (SELECT repo, feature_file AS file, max(ownership_friction) AS f, max(commits_touching_file) AS n FROM m WHERE metric_source = 'git_history' AND commits_touching_file > 0 GROUP BY 1, 2),
+        git AS (SELECT repo, feature_file AS file, max(ownership_friction) AS f, max(commits_touching_file) AS n FROM m
+        WHERE metric_source = 'git_history' AND commits_touching_file > 0 GROUP BY 1, 2),
         med AS (SELECT repo, {_MED("ownership_friction")} AS f, {_MED("commits_touching_file")} AS n FROM m WHERE repo IS NOT NULL GROUP BY 1)
-        SELECT w.repo, w.file, round(CASE WHEN g.n IS NOT NULL THEN g.f WHEN o.n_touches IS NOT NULL THEN o.friction WHEN d.f IS NOT NULL THEN d.f ELSE 0 END, 6) AS friction,
+        SELECT w.repo, w.file, round(CASE WHEN g.n IS NOT NULL THEN g.f WHEN o.n_touches IS NOT NULL THEN o.friction WHEN d.f IS NOT NULL THEN d.f
+        ELSE 0 END, 6) AS friction,
         CAST(CASE WHEN g.n IS NOT NULL THEN g.n WHEN o.n_touches IS NOT NULL THEN o.n_touches WHEN d.f IS NOT NULL THEN d.n ELSE 0 END AS BIGINT) AS n,
-        CASE WHEN g.n IS NOT NULL THEN 'git_history' WHEN o.n_touches IS NOT NULL THEN 'db_proxy' WHEN d.f IS NOT NULL THEN 'repo_fallback' ELSE 'missing' END AS metric_source
+        CASE WHEN g.n IS NOT NULL THEN 'git_history' WHEN o.n_touches IS NOT NULL THEN 'db_proxy' WHEN d.f IS NOT NULL THEN 'repo_fallback'
+        ELSE 'missing' END AS metric_source
         FROM want w LEFT JOIN git g ON g.repo = w.repo AND g.file = w.file LEFT JOIN own o ON o.repo = w.repo AND o.file = w.file LEFT JOIN med d ON d.repo = w.repo""",
-    "pr_file_avg_with_default": f"""WITH {_T}, {_M}, bf AS (SELECT repo, feature_file AS file, avg(ownership_friction) AS f FROM m WHERE repo IS NOT NULL GROUP BY 1, 2), med AS (SELECT repo, {_MED("ownership_friction")} AS d FROM m WHERE repo IS NOT NULL GROUP BY 1),
-        p AS (SELECT t.repo, t.instance_id, avg(f) AS mf, count(f) AS n_matched FROM (SELECT DISTINCT repo, instance_id, file FROM touches) t LEFT JOIN bf ON bf.repo = t.repo AND bf.file = t.file GROUP BY 1, 2)
+    "pr_file_avg_with_default": f"""WITH {_T}, {_M}, bf AS (SELECT repo, feature_file AS file, avg(ownership_friction) AS f FROM m
+        WHERE repo IS NOT NULL GROUP BY 1, 2), med AS (SELECT repo, {_MED("ownership_friction")} AS d FROM m WHERE repo IS NOT NULL GROUP BY 1),
+        p AS (SELECT t.repo, t.instance_id, avg(f) AS mf, count(f) AS n_matched FROM (SELECT DISTINCT repo, instance_id, file FROM touches) t LEFT
+        JOIN bf ON bf.repo = t.repo AND bf.file = t.file GROUP BY 1, 2)
         SELECT p.repo, instance_id, n_matched, round(coalesce(mf, d, 0.0), 6) AS friction FROM p LEFT JOIN med ON med.repo = p.repo""",
-    "module_mix": f"""WITH {_T}, p AS (SELECT instance_id, {_MOD.format(c="file")} AS module, count(*) AS n FROM (SELECT DISTINCT instance_id, file FROM touches) GROUP BY 1, 2)
-        SELECT instance_id, count(*) AS n_modules, round(1 - max(n) / sum(n), 6) AS spread, array_to_string(list(module ORDER BY n DESC, module)[1:3], ',') AS top3 FROM p GROUP BY 1""",
+    "module_mix": f"""WITH {_T}, p AS (SELECT instance_id, {_MOD.format(c="file")} AS module, count(*) AS n FROM (SELECT DISTINCT instance_id, file
+        FROM touches) GROUP BY 1, 2)
+        SELECT instance_id, count(*) AS n_modules, round(1 - max(n) / sum(n), 6) AS spread, array_to_string(list(module ORDER BY n DESC, module)[1:3],
+        ',') AS top3 FROM p GROUP BY 1""",
     "anchor_labels": _ANCHOR,
-    "relabel_threshold": f"""SELECT user_id, day, CAST(CASE WHEN has_click = 1 AND max_click_overlap < 50 THEN 0 ELSE has_click END AS INTEGER) AS has_click, CASE WHEN has_click = 1 AND max_click_overlap < 50 THEN 0 ELSE n_click END AS n_click FROM ({_ANCHOR})""",
-    "churn_counts": """WITH k AS (SELECT feature_file, feature_function, count(DISTINCT instance_id) AS churn FROM function_embeddings GROUP BY 1, 2), o AS (SELECT feature_file, feature_function, count(*) AS n_rows FROM function_static_props WHERE feature_function IS NOT NULL GROUP BY 1, 2)
+    "relabel_threshold": f"""SELECT user_id, day, CAST(CASE WHEN has_click = 1 AND max_click_overlap < 50 THEN 0
+        ELSE has_click END AS INTEGER) AS has_click, CASE WHEN has_click = 1 AND max_click_overlap < 50 THEN 0 ELSE n_click END AS n_click
+        FROM ({_ANCHOR})""",
+    "churn_counts": """WITH k AS (SELECT feature_file, feature_function, count(DISTINCT instance_id) AS churn FROM function_embeddings GROUP BY 1, 2),
+        o AS (SELECT feature_file, feature_function, count(*) AS n_rows FROM function_static_props WHERE feature_function IS NOT NULL GROUP BY 1, 2)
         SELECT feature_file, feature_function, n_rows, coalesce(churn, 1) AS churn FROM o LEFT JOIN k USING (feature_file, feature_function)""",
 }

@@ -300,16 +300,19 @@ SQL = {
     "candidate_choice": """WITH s AS (SELECT doc_id, coalesce(n_chars, 0) % 2 AS a, coalesce(n_chars, 0) % 3 AS b, coalesce(n_chars, 0) % 5 AS c FROM documents)
         SELECT doc_id, CASE WHEN greatest(a, b, c) < 2 OR a = greatest(a, b, c) THEN 'cand_A' WHEN b = greatest(a, b, c) THEN 'cand_B' ELSE 'cand_C' END AS chosen,
         CASE WHEN greatest(a, b, c) < 2 THEN 3 ELSE 1 END AS n_asked FROM s""",
-    "inferred_vectors": """SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS n_blanks FROM documents""",
+    "inferred_vectors": """SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(length(text) - length(replace(text, ' ',
+        '')) AS BIGINT) AS n_blanks FROM documents""",
     "random_pair_baseline": f"""WITH {_BOTH} SELECT count(*) AS n, round(avg(list_dot_product(u.s, u.b)), 6) AS own, round(avg(list_dot_product(u.b, w.b)), 6) AS chance
         FROM o JOIN u USING (function_id) JOIN o q ON q.p = (o.p + 1) % o.n JOIN u w ON w.function_id = q.function_id""",
     "infonce_negatives": f"""WITH {_BOTH}, h AS ({_HARD}), m AS (SELECT function_id AS id, p // 32 AS batch FROM o),
         x AS (SELECT DISTINCT a.batch, h.neighbour_id AS other FROM h JOIN m a ON a.id = h.query_id JOIN m b ON b.id = h.neighbour_id WHERE a.batch <> b.batch),
         c AS (SELECT batch, id AS other FROM m UNION ALL SELECT batch, other FROM x),
-        s AS (SELECT m.id, m.id = c.other AS own, list_dot_product(u.s, w.b) AS s FROM m JOIN c USING (batch) JOIN u ON u.function_id = m.id JOIN u w ON w.function_id = c.other)
+        s AS (SELECT m.id, m.id = c.other AS own, list_dot_product(u.s, w.b) AS s FROM m JOIN c USING (batch) JOIN u ON u.function_id = m.id
+        JOIN u w ON w.function_id = c.other)
         SELECT id AS function_id, round(-sum(s) FILTER (WHERE own) / 0.07 + ln(sum(exp(s / 0.07))), 6) AS loss FROM s GROUP BY 1""",
     "masked_token_loss": f"""WITH {_BOTH}, z AS (SELECT function_id, list_filter(list_zip(s, b), lambda p: p[1] > 0) AS z FROM u)
-        SELECT function_id, round(coalesce(list_sum(list_transform(z, lambda p: CASE WHEN abs(p[1] - p[2]) < 1 THEN 0.5 * (p[1] - p[2]) ** 2 ELSE abs(p[1] - p[2]) - 0.5 END)), 0)
+        SELECT function_id, round(coalesce(list_sum(list_transform(z, lambda p: CASE WHEN abs(p[1] - p[2]) < 1 THEN 0.5 * (p[1] - p[2]) ** 2
+        ELSE abs(p[1] - p[2]) - 0.5 END)), 0)
             / greatest(1, len(z)), 6) AS loss FROM z""",
     "source_views": f"""WITH {_NAMES} SELECT name, 'def ' || name || '(a, b):' || chr(10) || '    \"\"\"Adds.' || chr(10) || chr(10) || '    More.\"\"\"' AS signature,
         'def ' || name || '(a, b):' || chr(10) || '    \"\"\"Adds.\"\"\"' || chr(10) || '    ...' AS stub,
@@ -317,7 +320,8 @@ SQL = {
     "resolved_names": f"""WITH {_NAMES} SELECT name, unnest(['C.' || name, name, 'A.' || name, 'Q.main']) AS asked,
         unnest(['B.C.' || name, NULL, 'A.' || name, 'main']) AS meant FROM n WHERE name <> 'main'""",
     "dedented": r"""WITH t AS (SELECT DISTINCT function_id, body_text FROM function_student_targets WHERE body_text IS NOT NULL),
-        l AS (SELECT function_id, body_text, list_transform(string_split(body_text, chr(10)), lambda x: CASE WHEN trim(x, ' ' || chr(9)) = '' THEN '' ELSE x END) AS l FROM t),
+        l AS (SELECT function_id, body_text, list_transform(string_split(body_text, chr(10)), lambda x: CASE WHEN trim(x, ' ' || chr(9)) = '' THEN ''
+        ELSE x END) AS l FROM t),
         m AS (SELECT *, coalesce(list_min(list_transform(list_filter(l, lambda x: x <> ''), lambda x: length(x) - length(ltrim(x, ' ' || chr(9))))), 0) AS m FROM l)
         SELECT DISTINCT function_id, array_to_string(list_transform(l, lambda x: substr(x, m + 1)), chr(10)) AS body FROM m""",
 }

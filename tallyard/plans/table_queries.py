@@ -185,19 +185,28 @@ QUERIES = {
 
 SQL = {
     "anti_resume": "SELECT DISTINCT id, model_name FROM function_embeddings WHERE id NOT IN (SELECT function_id FROM function_student_targets)",
-    "semi_pool_topn": """SELECT id, instance_id FROM (SELECT DISTINCT id, instance_id, created_at FROM prs_copy WHERE changed_files BETWEEN 2 AND 40 AND instance_id IN (SELECT instance_id FROM function_static_props)) ORDER BY created_at DESC NULLS FIRST, id LIMIT 12000""",
-    "first_row_join": """SELECT p.instance_id, p.id, p.pull_number, n_functions FROM (SELECT DISTINCT instance_id, id, pull_number FROM prs_copy QUALIFY dense_rank() OVER (PARTITION BY instance_id ORDER BY id) = 1) p
+    "semi_pool_topn": """SELECT id, instance_id FROM (SELECT DISTINCT id, instance_id, created_at FROM prs_copy WHERE changed_files BETWEEN 2 AND 40
+        AND instance_id IN (SELECT instance_id FROM function_static_props)) ORDER BY created_at DESC NULLS FIRST, id LIMIT 12000""",
+    "first_row_join": """SELECT p.instance_id, p.id, p.pull_number, n_functions FROM (SELECT DISTINCT instance_id, id, pull_number
+        FROM prs_copy QUALIFY dense_rank() OVER (PARTITION BY instance_id ORDER BY id) = 1) p
         JOIN (SELECT instance_id, count(DISTINCT id) AS n_functions FROM function_static_props GROUP BY 1) f ON f.instance_id = p.instance_id""",
-    "distinct_on_deterministic": "SELECT DISTINCT ON (feature_file, feature_function) feature_file, feature_function, id FROM function_embeddings ORDER BY feature_file, feature_function, layer_index, id",
-    "static_left_enrich": """WITH p AS (SELECT instance_id, feature_file, feature_function, max(n_branches) AS b FROM function_static_props WHERE feature_function IS NOT NULL GROUP BY 1, 2, 3),
+    "distinct_on_deterministic": """SELECT DISTINCT ON (feature_file, feature_function) feature_file, feature_function, id FROM function_embeddings
+        ORDER BY feature_file, feature_function, layer_index, id""",
+    "static_left_enrich": """WITH p AS (SELECT instance_id, feature_file, feature_function, max(n_branches) AS b FROM function_static_props
+        WHERE feature_function IS NOT NULL GROUP BY 1, 2, 3),
         m AS (SELECT DISTINCT feature_instance_id AS instance_id, feature_file, feature_function, coalesce(commits_touching_file, 0) AS old FROM followup_org_metrics)
-        SELECT m.instance_id, count(*) AS n, count(p.instance_id) AS n_matched, CAST(sum(CASE WHEN p.instance_id IS NOT NULL THEN coalesce(b, 0) ELSE old END) AS BIGINT) AS total
+        SELECT m.instance_id, count(*) AS n, count(p.instance_id) AS n_matched, CAST(sum(CASE WHEN p.instance_id IS NOT NULL THEN coalesce(b, 0)
+        ELSE old END) AS BIGINT) AS total
         FROM m LEFT JOIN p ON p.instance_id = m.instance_id AND p.feature_file = m.feature_file AND p.feature_function = m.feature_function GROUP BY 1""",
-    "three_way_counts": """SELECT model_name, count(*) AS n_rows, count(DISTINCT e.id) AS n_functions, count(DISTINCT e.instance_id) AS n_instances FROM (SELECT DISTINCT id, instance_id, model_name FROM function_embeddings) e
-        JOIN (SELECT DISTINCT function_id FROM function_student_targets) t ON t.function_id = e.id JOIN (SELECT DISTINCT instance_id, pull_number FROM prs_copy) p ON p.instance_id = e.instance_id GROUP BY 1""",
+    "three_way_counts": """SELECT model_name, count(*) AS n_rows, count(DISTINCT e.id) AS n_functions, count(DISTINCT e.instance_id) AS n_instances
+        FROM (SELECT DISTINCT id, instance_id, model_name FROM function_embeddings) e
+        JOIN (SELECT DISTINCT function_id FROM function_student_targets) t ON t.function_id = e.id JOIN (SELECT DISTINCT instance_id, pull_number
+        FROM prs_copy) p ON p.instance_id = e.instance_id GROUP BY 1""",
     "key_sets": """WITH a AS (SELECT DISTINCT instance_id FROM function_static_props), b AS (SELECT DISTINCT instance_id FROM prs_copy)
-        SELECT (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS only_a, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS "both", (SELECT count(*) FROM (FROM a UNION FROM b)) AS either""",
-    "status_summary": "SELECT event_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS rate, round(avg(coalesce(value, 0)), 4) AS mean_value FROM events GROUP BY 1",
+        SELECT (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS only_a, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS "both", (SELECT count(*)
+        FROM (FROM a UNION FROM b)) AS either""",
+    "status_summary": """SELECT event_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS rate, round(avg(coalesce(value, 0)),
+        4) AS mean_value FROM events GROUP BY 1""",
     "stage_deltas": """WITH p AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2)
         SELECT event_type, day, n, n - first_value(n) OVER w AS since_first, n - lag(n) OVER w AS since_last FROM p WINDOW w AS (PARTITION BY event_type ORDER BY day)""",
     "early_stop_trace": """WITH p AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 6) AS m FROM events GROUP BY 1, 2),
@@ -205,18 +214,27 @@ SQL = {
         SELECT event_type, day, best, pos - max(CASE WHEN m = best THEN pos END) OVER (PARTITION BY event_type ORDER BY day) AS waited FROM b""",
     "percentiles": """WITH m AS (SELECT quantile_cont(loc, 0.1) AS p10, quantile_cont(loc, 0.5) AS p50, quantile_cont(loc, 0.9) AS p90 FROM function_static_props)
         SELECT p10, p50, p90, (SELECT round(avg(coalesce(loc, m.p50)), 6) FROM function_static_props) AS mean_filled FROM m""",
-    "fold_statistics": """SELECT return_type_cat, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS deviation FROM (SELECT return_type_cat, n_loops, avg(loc) AS m FROM function_static_props GROUP BY 1, 2) GROUP BY 1""",
+    "fold_statistics": """SELECT return_type_cat, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS deviation FROM (SELECT return_type_cat, n_loops,
+        avg(loc) AS m FROM function_static_props GROUP BY 1, 2) GROUP BY 1""",
     "expressions": r"""WITH p AS (SELECT DISTINCT id, CAST(coalesce(changed_files, 0) AS DOUBLE) AS n, pr_body FROM prs_copy)
-        SELECT DISTINCT id, round(least(1.0, ln(1 + n) / ln(40)), 6) AS scope, round(1 / (1 + exp(-greatest(-20, least(20, n - 5)))), 6) AS squashed, round(exp(greatest(n / 50, 0)) - 1, 6) AS back,
-        CASE WHEN n <> 0 THEN round(1 / n * 1000, 6) END AS rate, round(CASE WHEN n < 5 THEN (n + 1) / 5 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (n - 5) / 45))) END, 6) AS factor,
+        SELECT DISTINCT id, round(least(1.0, ln(1 + n) / ln(40)), 6) AS scope, round(1 / (1 + exp(-greatest(-20, least(20, n - 5)))), 6) AS squashed,
+        round(exp(greatest(n / 50, 0)) - 1, 6) AS back,
+        CASE WHEN n <> 0 THEN round(1 / n * 1000, 6) END AS rate, round(CASE WHEN n < 5 THEN (n + 1) / 5
+        ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (n - 5) / 45))) END, 6) AS factor,
         CAST(coalesce(length(regexp_extract(pr_body, '(?s)\{.*\}')), 0) AS INTEGER) AS object_length, 'http://host/' || id || '/v1' AS base FROM p""",
-    "marker_sessions": "SELECT * FROM (VALUES (1::BIGINT, 'a1', 'x@y', 'src/a.py'), (1, 'a1', 'x@y', 'src/b.py'), (3, 'c3', 'x@y', 'lib/c.py')) AS t(session, hash, author, line)",
-    "lookup_in_order": "SELECT position, vec_id AS id, label FROM (VALUES (0, 42), (1, 3), (2, 99999999), (3, 7), (4, 3)) AS w(position, i) JOIN embeddings ON vec_id = i",
-    "upsert_last_wins": """SELECT DISTINCT ON (feature_instance_id, feature_file, feature_function) feature_instance_id, feature_file, feature_function, ownership_friction FROM followup_org_metrics
+    "marker_sessions": """SELECT * FROM (VALUES (1::BIGINT, 'a1', 'x@y', 'src/a.py'), (1, 'a1', 'x@y', 'src/b.py'), (3, 'c3', 'x@y',
+        'lib/c.py')) AS t(session, hash, author, line)""",
+    "lookup_in_order": """SELECT position, vec_id AS id, label FROM (VALUES (0, 42), (1, 3), (2, 99999999), (3, 7), (4, 3)) AS w(position, i)
+        JOIN embeddings ON vec_id = i""",
+    "upsert_last_wins": """SELECT DISTINCT ON (feature_instance_id, feature_file, feature_function) feature_instance_id, feature_file,
+        feature_function, ownership_friction FROM followup_org_metrics
         ORDER BY feature_instance_id, feature_file, feature_function, created_at DESC, ownership_friction DESC NULLS LAST""",
-    "insert_ignore": """SELECT DISTINCT function_id AS id, 'target' AS origin FROM function_student_targets UNION ALL SELECT id, min(model_name) AS origin FROM function_embeddings WHERE id NOT IN (SELECT function_id FROM function_student_targets) GROUP BY 1""",
-    "get_or_create_id": """SELECT model_name, count(*) AS n_rows, count(*) AS n_keys, CAST(sum(length(feature_function)) AS BIGINT) AS total FROM (SELECT DISTINCT instance_id, feature_file, feature_function, model_name, layer_index FROM function_embeddings) GROUP BY 1""",
-    "update_columns": """WITH t AS (SELECT function_id AS id, max(sig_text) AS s FROM function_student_targets GROUP BY 1), e AS (SELECT id, max('def ' || feature_function) AS s FROM function_embeddings GROUP BY 1)
+    "insert_ignore": """SELECT DISTINCT function_id AS id, 'target' AS origin FROM function_student_targets UNION ALL SELECT id,
+        min(model_name) AS origin FROM function_embeddings WHERE id NOT IN (SELECT function_id FROM function_student_targets) GROUP BY 1""",
+    "get_or_create_id": """SELECT model_name, count(*) AS n_rows, count(*) AS n_keys, CAST(sum(length(feature_function)) AS BIGINT) AS total
+        FROM (SELECT DISTINCT instance_id, feature_file, feature_function, model_name, layer_index FROM function_embeddings) GROUP BY 1""",
+    "update_columns": """WITH t AS (SELECT function_id AS id, max(sig_text) AS s FROM function_student_targets GROUP BY 1), e AS (SELECT id,
+        max('def ' || feature_function) AS s FROM function_embeddings GROUP BY 1)
         SELECT t.id, coalesce(t.s, e.s) AS sig_text FROM t LEFT JOIN e ON e.id = t.id""",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

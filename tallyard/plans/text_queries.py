@@ -94,27 +94,40 @@ SQL = {
         count(*) AS n_rows, count(DISTINCT instance_id) AS n_instances FROM prs_copy GROUP BY 1""",
     "module_and_base": """SELECT CASE WHEN trim(coalesce(feature_file, ''), '/') = '' THEN '__root__' ELSE string_split(trim(feature_file, '/'), '/')[1] END AS module,
         string_split(feature_file, '/')[-1] AS base, count(*) AS n FROM function_static_props GROUP BY 1, 2""",
-    "diff_paths": r"""WITH p AS (SELECT DISTINCT id, patch FROM prs_copy), l AS (SELECT id, unnest(string_split(patch, chr(10))) AS line, generate_subscripts(string_split(patch, chr(10)), 1) AS n FROM p),
-        m AS (SELECT id, n, CASE WHEN starts_with(line, '+++ b/') THEN regexp_extract(line, '^\+\+\+ b/(.+)$', 1) ELSE regexp_extract(line, '^diff --git a/(.+?) b/.+$', 1) END AS path FROM l),
+    "diff_paths": r"""WITH p AS (SELECT DISTINCT id, patch FROM prs_copy), l AS (SELECT id, unnest(string_split(patch, chr(10))) AS line,
+        generate_subscripts(string_split(patch, chr(10)), 1) AS n FROM p),
+        m AS (SELECT id, n, CASE WHEN starts_with(line, '+++ b/') THEN regexp_extract(line, '^\+\+\+ b/(.+)$', 1) ELSE regexp_extract(line,
+        '^diff --git a/(.+?) b/.+$', 1) END AS path FROM l),
         f AS (SELECT id, path, min(n) AS n FROM m WHERE regexp_matches(path, '\.pyx?$') GROUP BY 1, 2)
         SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS INTEGER) AS pos, path FROM f""",
     "name_quality": """WITH t AS (SELECT DISTINCT pr_title, regexp_extract_all(pr_title, '[A-Za-z_][A-Za-z0-9_]*') AS w FROM prs_copy WHERE pr_title <> '')
-        SELECT pr_title, round(CASE WHEN len(w) = 0 THEN 0.5 ELSE CAST(len(list_filter(w, lambda x: len(x) >= 3 AND NOT regexp_full_match(x, '[a-z][0-9]*'))) AS DOUBLE) / len(w) END, 6) AS quality,
+        SELECT pr_title, round(CASE WHEN len(w) = 0 THEN 0.5 ELSE CAST(len(list_filter(w, lambda x: len(x) >= 3 AND NOT regexp_full_match(x,
+        '[a-z][0-9]*'))) AS DOUBLE) / len(w) END, 6) AS quality,
         round(ln(1 + len(pr_title)), 6) AS log_length FROM t""",
-    "line_stats": r"""SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n')) END AS BIGINT) AS n_lines,
-        length(regexp_replace(coalesce(text, ''), '^[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')) < 5 AS is_short,
+    "line_stats": r"""SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, '(\r\n|\r|\n)$',
+        ''), '\r\n|\r|\n')) END AS BIGINT) AS n_lines,
+        length(regexp_replace(coalesce(text, ''),
+        '^[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$',
+        '', 'g')) < 5 AS is_short,
         coalesce(substr(text, 1, 40), '') AS head FROM documents""",
     "json_props": f"""WITH p AS (SELECT DISTINCT id, requested_reviewers, file_patches FROM prs_copy),
-        f AS (SELECT id, requested_reviewers, list_filter(list_transform({_JSON("file_patches")}, lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN coalesce(nullif(x ->> 'file_path', ''), nullif(x ->> 'path', ''), nullif(x ->> 'file', ''), nullif(x ->> 'filename', '')) ELSE x ->> '$' END),
+        f AS (SELECT id, requested_reviewers, list_filter(list_transform({_JSON("file_patches")}, lambda x: CASE
+        WHEN json_type(x) = 'OBJECT' THEN coalesce(nullif(x ->> 'file_path', ''), nullif(x ->> 'path', ''), nullif(x ->> 'file', ''),
+        nullif(x ->> 'filename', '')) ELSE x ->> '$' END),
             lambda x: x IS NOT NULL AND x <> '') AS files FROM p),
         g AS (SELECT id, requested_reviewers, list_filter(files, lambda x, i: list_position(files, x) = i) AS files FROM f)
-        SELECT id, CAST(len({_JSON("requested_reviewers")}) AS BIGINT) AS n_reviewers, CAST(len(files) AS BIGINT) AS n_files, coalesce(array_to_string(files, '|'), '') AS files FROM g""",
+        SELECT id, CAST(len({_JSON("requested_reviewers")}) AS BIGINT) AS n_reviewers, CAST(len(files) AS BIGINT) AS n_files,
+        coalesce(array_to_string(files, '|'), '') AS files FROM g""",
     "refactor_mentions": f"""WITH p AS (SELECT DISTINCT id, review_threads, comments FROM prs_copy),
-        t AS (SELECT id, comments, list_transform(list_filter({_JSON("review_threads")}, lambda t: json_type(t) = 'OBJECT'), lambda t: {_HITS("(t ->> 'comments')")}) AS per FROM p)
-        SELECT id, CAST(coalesce(list_sum(per), 0) + {_HITS("comments")} AS BIGINT) AS n_comments, CAST(len(list_filter(per, lambda x: x > 0)) AS BIGINT) AS n_threads FROM t""",
+        t AS (SELECT id, comments, list_transform(list_filter({_JSON("review_threads")}, lambda t: json_type(t) = 'OBJECT'),
+        lambda t: {_HITS("(t ->> 'comments')")}) AS per FROM p)
+        SELECT id, CAST(coalesce(list_sum(per), 0) + {_HITS("comments")} AS BIGINT) AS n_comments, CAST(len(list_filter(per,
+        lambda x: x > 0)) AS BIGINT) AS n_threads FROM t""",
     "pr_transition_rows": """SELECT id, instance_id, author, is_draft, size, n_comments, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM (
         SELECT DISTINCT id, instance_id, coalesce(nullif(trim(pr_author), ''), 'unknown') AS author, coalesce(pr_is_draft, false) AS is_draft,
         CAST(coalesce(additions, 0) AS BIGINT) + CAST(coalesce(deletions, 0) AS BIGINT) AS size, CAST(coalesce(total_comments, 0) AS BIGINT) AS n_comments, created_at
-        FROM prs_copy WHERE patch IS NOT NULL AND file_patches IS NOT NULL AND changed_files BETWEEN 1 AND 120 AND coalesce(additions, 0) + coalesce(deletions, 0) BETWEEN 5 AND 8000)""",
-    "size_parse": """SELECT * FROM (VALUES (0, 300::BIGINT), (1, 1024), (2, 1610612736), (3, 2097152), (4, 7696581394432), (5, NULL), (6, NULL), (7, NULL), (8, 12845056)) AS t(i, bytes)""",
+        FROM prs_copy WHERE patch IS NOT NULL AND file_patches IS NOT NULL AND changed_files BETWEEN 1 AND 120 AND coalesce(additions,
+        0) + coalesce(deletions, 0) BETWEEN 5 AND 8000)""",
+    "size_parse": """SELECT * FROM (VALUES (0, 300::BIGINT), (1, 1024), (2, 1610612736), (3, 2097152), (4, 7696581394432), (5, NULL), (6, NULL), (7,
+        NULL), (8, 12845056)) AS t(i, bytes)""",
 }

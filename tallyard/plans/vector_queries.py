@@ -166,8 +166,10 @@ QUERIES = {
     )
 }
 
-_N = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, label, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-9)) AS v FROM e)"""
-_KNN = f"""{_N}, s AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, a.label AS ql, b.label AS nl, list_dot_product(a.v, b.v) AS s FROM n a JOIN n b ON a.vec_id <> b.vec_id),
+_N = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, label, list_transform(v,
+        lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-9)) AS v FROM e)"""
+_KNN = f"""{_N}, s AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, a.label AS ql, b.label AS nl, list_dot_product(a.v, b.v) AS s FROM n a
+        JOIN n b ON a.vec_id <> b.vec_id),
     k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, neighbour) AS INTEGER) AS rank FROM s QUALIFY rank <= 10)"""
 _OK = "judge IS NOT NULL AND judge.error IS NULL AND judge.skipped IS NULL"
 _HARD = f"""SELECT DISTINCT query_id, neighbour_id, judge.score_c AS score FROM knn_pairs WHERE {_OK} AND judge.score_c BETWEEN 0 AND 1 AND cosine_similarity >= 0.5
@@ -177,36 +179,58 @@ _MEANS = "mean AS (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i,
 _UNIT = "list_transform({v}, lambda x: x / (sqrt(list_dot_product({v}, {v})) + 1e-9))"
 SQL = {
     "knn_top10": f"WITH {_KNN} SELECT query, neighbour, rank, round(s, 5) AS similarity FROM k",
-    "knn_cross_label": f"WITH {_KNN} SELECT ql AS label, count(*) AS n, count(*) FILTER (WHERE ql <> nl) AS n_cross, round(avg(s), 5) AS mean_similarity FROM k GROUP BY 1",
+    "knn_cross_label": f"""WITH {_KNN} SELECT ql AS label, count(*) AS n, count(*) FILTER (WHERE ql <> nl) AS n_cross, round(avg(s),
+        5) AS mean_similarity FROM k GROUP BY 1""",
     "knn_point_lookup": f"WITH {_KNN} SELECT rank, neighbour, nl AS label FROM k WHERE query = 7",
-    "pairwise_matrix": f"WITH {_N}, {_MEANS.format(t='e')}, u AS (SELECT label, {_UNIT.format(v='m')} AS m FROM mean) SELECT a.label AS a, b.label AS b, round(list_dot_product(a.m, b.m), 5) AS similarity FROM u a JOIN u b ON a.label <= b.label",
-    "centroid_center_norm": f"""WITH {_N}, t AS (SELECT 0 AS label, v FROM e WHERE label < 8), {_MEANS.format(t="t")}, c AS (SELECT vec_id, m, list_transform(list_zip(v, m), lambda p: p[1] - p[2]) AS c FROM e, mean),
+    "pairwise_matrix": f"""WITH {_N}, {_MEANS.format(t='e')}, u AS (SELECT label, {_UNIT.format(v='m')} AS m FROM mean) SELECT a.label AS a,
+        b.label AS b, round(list_dot_product(a.m, b.m), 5) AS similarity FROM u a JOIN u b ON a.label <= b.label""",
+    "centroid_center_norm": f"""WITH {_N}, t AS (SELECT 0 AS label, v FROM e WHERE label < 8), {_MEANS.format(t="t")}, c AS (SELECT vec_id, m,
+        list_transform(list_zip(v, m), lambda p: p[1] - p[2]) AS c FROM e, mean),
         u AS (SELECT vec_id, m, {_UNIT.format(v="c")} AS c FROM c) SELECT vec_id, round(list_dot_product(c, m), 6) AS to_mean, round(c[1], 6) AS first FROM u""",
-    "retrieval_rank_at_k": f"""WITH t AS (SELECT function_id, any_value(CAST(sig_embedding AS DOUBLE[])) AS s, any_value(CAST(body_embedding AS DOUBLE[])) AS b FROM function_student_targets
-        WHERE len(sig_embedding) = 64 AND len(body_embedding) = 64 AND len(list_filter(sig_embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(body_embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 GROUP BY 1),
-        u AS (SELECT function_id, {_UNIT.format(v="s")} AS s, {_UNIT.format(v="b")} AS b FROM t), m AS (SELECT x.function_id AS q, y.function_id AS n, round(list_dot_product(x.s, y.b), 12) AS s FROM u x, u y),
-        own AS (SELECT q, s FROM m WHERE q = n), r AS (SELECT m.q, 1 + count(*) FILTER (WHERE m.s > own.s OR m.s = own.s AND m.n < m.q) AS rank FROM m JOIN own USING (q) GROUP BY 1)
-        SELECT count(*) FILTER (WHERE rank <= 1) AS n_at_1, count(*) FILTER (WHERE rank <= 5) AS n_at_5, count(*) FILTER (WHERE rank <= 10) AS n_at_10, count(*) AS n FROM r""",
-    "infonce_value": f"""WITH {_N}, {_MEANS.format(t="n")}, u AS (SELECT label AS anchor, {_UNIT.format(v="m")} AS m FROM mean), s AS (SELECT vec_id, label, anchor, list_dot_product(v, m) AS s FROM n, u),
-        p AS (SELECT vec_id, label, -sum(s) FILTER (WHERE label = anchor) / 0.07 + ln(sum(exp(s / 0.07))) AS loss FROM s GROUP BY 1, 2) SELECT label, round(avg(loss), 5) AS loss, count(*) AS n FROM p GROUP BY 1""",
-    "vector_hygiene": """WITH f AS (SELECT id, any_value(model_name) AS model_name, any_value(embedding) AS e FROM function_embeddings WHERE embedding IS NOT NULL GROUP BY 1)
+    "retrieval_rank_at_k": f"""WITH t AS (SELECT function_id, any_value(CAST(sig_embedding AS DOUBLE[])) AS s,
+        any_value(CAST(body_embedding AS DOUBLE[])) AS b FROM function_student_targets
+        WHERE len(sig_embedding) = 64 AND len(body_embedding) = 64 AND len(list_filter(sig_embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        AND len(list_filter(body_embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 GROUP BY 1),
+        u AS (SELECT function_id, {_UNIT.format(v="s")} AS s, {_UNIT.format(v="b")} AS b FROM t), m AS (SELECT x.function_id AS q, y.function_id AS n,
+        round(list_dot_product(x.s, y.b), 12) AS s FROM u x, u y),
+        own AS (SELECT q, s FROM m WHERE q = n), r AS (SELECT m.q, 1 + count(*) FILTER (WHERE m.s > own.s OR m.s = own.s AND m.n < m.q) AS rank FROM m
+        JOIN own USING (q) GROUP BY 1)
+        SELECT count(*) FILTER (WHERE rank <= 1) AS n_at_1, count(*) FILTER (WHERE rank <= 5) AS n_at_5, count(*) FILTER (WHERE rank <= 10) AS n_at_10,
+        count(*) AS n FROM r""",
+    "infonce_value": f"""WITH {_N}, {_MEANS.format(t="n")}, u AS (SELECT label AS anchor, {_UNIT.format(v="m")} AS m FROM mean), s AS (SELECT vec_id,
+        label, anchor, list_dot_product(v, m) AS s FROM n, u),
+        p AS (SELECT vec_id, label, -sum(s) FILTER (WHERE label = anchor) / 0.07 + ln(sum(exp(s / 0.07))) AS loss FROM s GROUP BY 1, 2) SELECT label,
+        round(avg(loss), 5) AS loss, count(*) AS n FROM p GROUP BY 1""",
+    "vector_hygiene": """WITH f AS (SELECT id, any_value(model_name) AS model_name, any_value(embedding) AS e FROM function_embeddings
+        WHERE embedding IS NOT NULL GROUP BY 1)
         SELECT model_name, count(*) FILTER (WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)) AS n_finite, count(*) AS n,
-        round(sum(coalesce(list_sum(list_transform(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x)), lambda x: CAST(x AS DOUBLE))), 0)), 3) AS total FROM f GROUP BY 1""",
-    "masked_mean_pool": """SELECT label, CAST(i - 1 AS INTEGER) AS place, round(sum(CASE WHEN f > 0 THEN x ELSE 0 END) / greatest(1, count(*) FILTER (WHERE f > 0)), 6) AS value
+        round(sum(coalesce(list_sum(list_transform(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x)), lambda x: CAST(x AS DOUBLE))), 0)),
+        3) AS total FROM f GROUP BY 1""",
+    "masked_mean_pool": """SELECT label, CAST(i - 1 AS INTEGER) AS place, round(sum(CASE WHEN f > 0 THEN x ELSE 0 END) / greatest(1,
+        count(*) FILTER (WHERE f > 0)), 6) AS value
         FROM (SELECT label, embedding[1] AS f, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2""",
-    "span_overlap": """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
+    "span_overlap": """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos
+        FROM documents WHERE text IS NOT NULL),
         e AS (SELECT doc_id, pos, length(w) AS n, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM w)
         SELECT doc_id, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last FROM e WHERE e - 1 > 100 AND e - n - 1 < 200 GROUP BY 1""",
-    "pair_band_filter": f"""SELECT query_model, CASE WHEN NOT cross_repo AND cosine_similarity >= 0.999 THEN 'copy' WHEN cross_repo AND s = 3 THEN 'gold' WHEN cross_repo AND s = 2 THEN 'strong' WHEN NOT cross_repo AND s >= 2 THEN 'variant' ELSE 'other' END AS tier, count(*) AS n
-        FROM (SELECT *, CASE WHEN {_OK} THEN judge.score_c END AS s FROM knn_pairs) WHERE CASE WHEN cross_repo THEN cosine_similarity >= 0.8 ELSE cosine_similarity >= 0.8 AND cosine_similarity < 0.999 END GROUP BY 1, 2""",
+    "pair_band_filter": f"""SELECT query_model, CASE WHEN NOT cross_repo AND cosine_similarity >= 0.999 THEN 'copy' WHEN cross_repo
+        AND s = 3 THEN 'gold' WHEN cross_repo AND s = 2 THEN 'strong' WHEN NOT cross_repo AND s >= 2 THEN 'variant' ELSE 'other' END AS tier,
+        count(*) AS n
+        FROM (SELECT *, CASE WHEN {_OK} THEN judge.score_c END AS s FROM knn_pairs) WHERE CASE WHEN cross_repo THEN cosine_similarity >= 0.8
+        ELSE cosine_similarity >= 0.8 AND cosine_similarity < 0.999 END GROUP BY 1, 2""",
     "hard_negatives": _HARD,
     "hard_negative_histogram": f"SELECT least(n, 10) AS n_negatives, count(*) AS n_anchors FROM (SELECT query_id, count(*) AS n FROM ({_HARD}) GROUP BY 1) GROUP BY 1",
-    "pair_stage_counts": f"""SELECT query_model, count(*) AS n_pairs, count(*) FILTER (WHERE {_OK}) AS n_judged, count(judge.skipped) AS n_skipped, count(*) FILTER (WHERE {_OK} AND judge.score_c >= 2) AS n_positive,
+    "pair_stage_counts": f"""SELECT query_model, count(*) AS n_pairs, count(*) FILTER (WHERE {_OK}) AS n_judged, count(judge.skipped) AS n_skipped,
+        count(*) FILTER (WHERE {_OK} AND judge.score_c >= 2) AS n_positive,
         count(*) FILTER (WHERE {_OK} AND cross_repo) AS n_cross FROM knn_pairs GROUP BY 1""",
-    "score_histogram": f"SELECT count(*) FILTER (WHERE s = 0) AS n_0, count(*) FILTER (WHERE s = 1) AS n_1, count(*) FILTER (WHERE s = 2) AS n_2, count(*) FILTER (WHERE s = 3) AS n_3, round(avg(s), 6) AS mean FROM (SELECT judge.score_c AS s FROM knn_pairs WHERE {_OK} AND cross_repo)",
+    "score_histogram": f"""SELECT count(*) FILTER (WHERE s = 0) AS n_0, count(*) FILTER (WHERE s = 1) AS n_1, count(*) FILTER (WHERE s = 2) AS n_2,
+        count(*) FILTER (WHERE s = 3) AS n_3, round(avg(s), 6) AS mean FROM (SELECT judge.score_c AS s FROM knn_pairs WHERE {_OK} AND cross_repo)""",
     "disconnect_flags": f"SELECT kind, count(*) AS n, round(avg(cosine_similarity), 6) AS mean_similarity FROM ({_DIS}) GROUP BY 1",
-    "top_disconnects": f"SELECT DISTINCT query_id, neighbour_id, round(cosine_similarity, 9) AS similarity FROM ({_DIS}) ORDER BY similarity DESC NULLS LAST, query_id, neighbour_id LIMIT 10",
-    "judge_pairs_stub": """WITH p AS (SELECT DISTINCT query_id, neighbour_id FROM knn_pairs), t AS (SELECT function_id, min(body_text) AS t FROM function_student_targets GROUP BY 1),
-        b AS (SELECT length(q.t) AS a, length(n.t) AS b FROM p JOIN t q ON q.function_id = query_id JOIN t n ON n.function_id = neighbour_id WHERE q.t IS NOT NULL AND n.t IS NOT NULL)
+    "top_disconnects": f"""SELECT DISTINCT query_id, neighbour_id, round(cosine_similarity, 9) AS similarity FROM ({_DIS})
+        ORDER BY similarity DESC NULLS LAST, query_id, neighbour_id LIMIT 10""",
+    "judge_pairs_stub": """WITH p AS (SELECT DISTINCT query_id, neighbour_id FROM knn_pairs), t AS (SELECT function_id, min(body_text) AS t
+        FROM function_student_targets GROUP BY 1),
+        b AS (SELECT length(q.t) AS a, length(n.t) AS b FROM p JOIN t q ON q.function_id = query_id JOIN t n ON n.function_id = neighbour_id
+        WHERE q.t IS NOT NULL AND n.t IS NOT NULL)
         SELECT CAST(CASE WHEN a = b THEN 3 WHEN abs(a - b) < 20 THEN 2 ELSE 0 END AS BIGINT) AS score, count(*) AS n FROM b GROUP BY 1""",
 }
