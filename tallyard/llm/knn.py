@@ -375,7 +375,7 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     space = F.concat_ws("|", F.coalesce("model_name", F.lit("")), F.coalesce(F.col("layer_index").cast("string"), F.lit("")))
     a = top_similar(emb, space, "id", "embedding", 5).withColumn("vec_set", F.lit("embedding"))
     b = top_similar(body, F.lit("body"), "function_id", "body_embedding", 5).withColumn("vec_set", F.lit("body_embedding"))
-    return a.unionByName(b).select("vec_set", "id", "neighbour", F.round("cosine", 6).alias("cosine"))
+    return a.unionByName(b).select("vec_set", "id", "neighbour", "cosine")
 
 
 QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours}
@@ -390,6 +390,6 @@ _SETS = _TOP.format(n="e", space="model_name || '|' || layer_index", item="id",
 SQL = {
     "p2_found": f"""WITH {_SETS} SELECT DISTINCT 'embedding' AS vec_set, least(id, o) AS id_a, greatest(id, o) AS id_b FROM e_t WHERE s >= 0.9
         UNION ALL SELECT DISTINCT 'body_embedding' AS vec_set, least(id, o) AS id_a, greatest(id, o) AS id_b FROM b_t WHERE s >= 0.9""",
-    "p2_neighbours": f"""WITH {_SETS} SELECT 'embedding' AS vec_set, id, o AS neighbour, round(s, 6) AS cosine FROM e_t
-        UNION ALL SELECT 'body_embedding' AS vec_set, id, o AS neighbour, round(s, 6) AS cosine FROM b_t""",
+    "p2_neighbours": f"""WITH {_SETS} SELECT 'embedding' AS vec_set, id, o AS neighbour, s AS cosine FROM e_t
+        UNION ALL SELECT 'body_embedding' AS vec_set, id, o AS neighbour, s AS cosine FROM b_t""",
 }
