@@ -265,14 +265,14 @@ def class_neighbours(
 ) -> DataFrame:
     """Pairs of classes (query class, candidate class, its smallest id, cosine), at most ``k`` a query and task.
 
-    Each space has one cell for ``cell_rows`` rows: 8,192, or 32,768 for neighbours however far. The centroids are fitted on at most ``sample_rows`` rows in all (the
+    Each space has one cell for ``cell_rows`` rows: 8,192, or 65,536 for neighbours however far. The centroids are fitted on at most ``sample_rows`` rows in all (the
     only sample). A class is indexed in its nearest cell and also searched in up to ``visits`` - 1 others whose centroid
     is within ``margin`` of the nearest: a vector at cosine 0.9 moves the difference of two centroids' products by some
     0.07, so 0.12 and 6 do from 0.8 on; farther neighbours take 0.3 and 8, and more lists in a cell. A cell that the
     sample shows to be crowded is cut into blocks by class hash, of some 2 ``cell_rows`` members and twice as many visitors.
     """
     near = min_cosine >= 0.8
-    cells = fit_cells(rows, dim, cell_rows or (8192 if near else 32_768), sample_rows, margin or (0.12 if near else 0.3), visits or (6 if near else 8))
+    cells = fit_cells(rows, dim, cell_rows or (8192 if near else 65_536), sample_rows, margin or (0.12 if near else 0.3), visits or (6 if near else 8))
     shared = rows.sparkSession.sparkContext.broadcast(cells)  # at most sample_rows / 16 centroids
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
