@@ -56,9 +56,9 @@ def centroid_center_norm(spark: SparkSession, d: str) -> DataFrame:
 
 def retrieval_rank_at_k(spark: SparkSession, d: str) -> DataFrame:
     """The rank of a function's own body among all bodies, searched by its signature vector."""
-    t = spark.read.parquet(f"{d}/function_student_targets.parquet").select("function_id", vectors.as_double("sig_embedding").alias("sig"), vectors.as_double("body_embedding").alias("body"))
+    t = spark.read.parquet(f"{d}/function_student_targets.parquet").select("function_id", F.col("sig_embedding").alias("sig"), F.col("body_embedding").alias("body"))
     ok = t.where((F.size("sig") == 64) & (F.size("body") == 64) & vectors.finite(F.col("sig")) & vectors.finite(F.col("body"))).dropDuplicates(["function_id"])
-    r = vectors.true_ranks(ok.select("function_id", F.col("sig").alias("v")), ok.select("function_id", F.col("body").alias("v")), "function_id", "v")
+    r = vectors.own_ranks(ok, "function_id", "sig", "body", up_to=10)
     return r.agg(*[F.count_if(F.col("rank") <= k).alias(f"n_at_{k}") for k in (1, 5, 10)], F.count(F.lit(1)).alias("n"))
 
 

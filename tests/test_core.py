@@ -425,6 +425,24 @@ def test_vectors_of_other_lengths_are_left_out(spark):
     assert got == {i: 1 + int((s[i] > s[i, i]).sum()) for i in range(40)}
 
 
+def test_ranks_without_copied_rows(spark):
+    """Many blocks, equal rows and rows without query: right ranks, and the shuffle doesn't grow with the blocks."""
+    rng = np.random.default_rng(3)
+    v = np.round(rng.standard_normal((60, 4)), 1)
+    v[30:40], v[50] = v[:10], 0
+    q = np.round(v + 0.6 * rng.standard_normal((60, 4)), 1)
+    rows = [(i, q[i].tolist() if i % 7 else None, v[i].tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, q array<float>, v array<float>")
+    unit = lambda x: np.float32(x).astype(float) / (np.linalg.norm(np.float32(x).astype(float), axis=1, keepdims=True) + 1e-9)
+    s = np.round(np.einsum("ik,jk->ij", unit(q), unit(v)), 12)
+    want = {i: 1 + sum(s[i, j] > s[i, i] or s[i, j] == s[i, i] and j < i for j in range(60) if j != i) for i in range(60) if i % 7}
+    for blocks in (5, 100):
+        assert {r.id: r["rank"] for r in vectors.own_ranks(df, "id", "q", "v", block_rows=blocks, ask_rows=4).collect()} == want
+        assert {r.id: r["rank"] for r in vectors.own_ranks(df, "id", "q", "v", block_rows=blocks, ask_rows=4, up_to=3).collect()} == {i: k if k <= 3 else None for i, k in want.items()}
+    plan = vectors.own_ranks(df, "id", "q", "v", block_rows=5)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
 def test_sources_by_rule(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d")], "k int, v string")
     assert sorted(r.v for r in readers.in_list(df, "k", [2, 2, None, 7]).collect()) == ["b", "d"] and readers.in_list(df, "k", []).count() == 0
