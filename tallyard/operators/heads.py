@@ -168,15 +168,15 @@ def fit_pairwise(df: DataFrame, columns: Sequence[str], draws: DataFrame, key: s
     pair counts in both signs. None without a draw, where ``fit_logistic`` stands in."""
     head = scaler(df, columns)
     one = df.dropDuplicates([key]).select(F.col(key).alias("__key"), F.array(*head.scaled()).alias("v"))
-    side = lambda name: one.select(F.col("__key").alias(name), F.col("v").alias(f"{name}_v"))
-    d = draws.join(side("pos"), "pos").join(side("neg"), "neg").select(F.zip_with("pos_v", "neg_v", lambda a, b: a - b).alias("d"))
-    both = Stored(d.select(F.col("d").alias("x"), F.lit(1.0).alias("y")).unionByName(d.select(F.transform("d", lambda x: -x).alias("x"), F.lit(0.0).alias("y"))), "differences")
-    n = both.df.count()
+    side = lambda name: one.select(F.col("__key").alias(name), F.col("v").alias(f"{name}_v")).hint("merge")  # noqa: E731  never all rows by way of the driver
+    kept = Stored(draws.join(side("pos"), "pos").join(side("neg"), "neg").select(F.zip_with("pos_v", "neg_v", lambda a, b: a - b).alias("d")), "differences")
+    n = 2 * kept.df.count()
     if not n:
-        both.drop()
+        kept.drop()
         return None
-    w = _softmax(both.df.coalesce(max(1, -(-n // 50_000))), len(columns), np.ones(2), c, False)[:, 0]
-    both.drop()
+    both = kept.df.select(F.inline(F.array(F.struct(F.col("d").alias("x"), F.lit(1.0).alias("y")), F.struct(F.transform("d", lambda x: -x).alias("x"), F.lit(0.0).alias("y")))))
+    w = _softmax(both.coalesce(max(1, -(-n // 50_000))), len(columns), np.ones(2), c, False)[:, 0]
+    kept.drop()
     head.coef, head.intercept = w[:-1].tolist(), float(w[-1])
     return head
 

@@ -117,7 +117,8 @@ def pair_draws(df: DataFrame, group: str, label: str, key: str, per_group: int =
     draws = spans.where("np > 0 and nn > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.least(F.lit(per_group), F.col("np") * F.col("nn")).cast("int"))))
     at = lambda side, n, start: F.col(start) + F.floor(hash_unit(F.col(group), F.col("draw"), F.lit(side), seed=seed) * F.col(n)).cast("bigint")
     want = draws.select(group, "draw", at("p", "np", "p0").alias("pp"), at("n", "nn", "n0").alias("nq"))
-    pick = lambda pos, name: placed.select(F.col("position").alias(pos), F.col(key).alias(name))
+    # every row may be a member: the written table is small enough for an automatic broadcast long before its rows fit into the driver
+    pick = lambda pos, name: placed.select(F.col("position").alias(pos), F.col(key).alias(name)).hint("merge")
     return want.join(pick("pp", "pos"), "pp").join(pick("nq", "neg"), "nq").select(group, "draw", "pos", "neg")
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from tallyard.functions import code, scores, text
 from tallyard.functions.repos import repo_name, repo_of_instance
 from tallyard.operators import heads, labels, ml, org, packs, ranking, sampling, seams, vectors
 from tallyard.operators.skew import join_unique, skewed_group_metrics
+from tallyard.scratch import Stored
 from tallyard.sources import readers, sinks, vector_store
 from tallyard.streaming import incremental
 
@@ -443,6 +445,19 @@ def test_ranks_without_copied_rows(spark):
     assert "Exchange" not in plan and "Generate" not in plan
 
 
+def test_pairs_without_broadcast_rows(spark, monkeypatch):
+    """Drawing and looking up pairs sends no table of all rows to the driver, however small its files are; each pair is written once."""
+    df = spark.range(80).select("id", (F.col("id") % 5).alias("g"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("y"), (F.col("id") % 7 + F.pmod(F.xxhash64("id"), F.lit(2))).alias("x"))
+    written = []
+    monkeypatch.setattr(heads, "Stored", lambda t, label: written.append((Stored(t, label), t._jdf.queryExecution().executedPlan().toString())) or written[-1][0])
+    draws = sampling.pair_draws(df, "g", "y", "id", 10, 1)
+    monkeypatch.setattr(Stored, "drop", lambda self: None)
+    head = heads.fit_pairwise(df, ["x"], draws, "id")
+    (kept, plan), = written
+    assert kept.df.count() == draws.count() > 0 and head.coef[0] > 0 and abs(head.intercept) < 1e-6
+    assert not re.search(r"BroadcastHashJoin \[(pp|nq|pos|neg)#", plan) and len(re.findall(r"SortMergeJoin \[(?:pp|nq|pos|neg)#", plan)) == 4
+
+
 def test_sources_by_rule(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d")], "k int, v string")
     assert sorted(r.v for r in readers.in_list(df, "k", [2, 2, None, 7]).collect()) == ["b", "d"] and readers.in_list(df, "k", []).count() == 0
